@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import embeddings, media, mixing, pieces, secrets, simhash, toxicity
+from linkloom.llm import embeddings, media, mixing, pieces, secrets, simhash, substrings, toxicity
 from linkloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -46,6 +46,12 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), sha(secrets.joined(base)).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_sentencepiece, op5_media_columns, op6_toxicity, op7_secret_scans, op9_simhash_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_sentencepiece, op5_media_columns, op6_toxicity, op7_secret_scans, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
