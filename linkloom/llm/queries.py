@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import embeddings, media, mixing, pieces, secrets, simhash, substrings, toxicity
+from linkloom.llm import embeddings, licenses, media, mixing, pieces, secrets, simhash, substrings, tokens, toxicity
 from linkloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -21,6 +21,15 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.counts(docs, public_tokenizers.path(BYTES), public_tokenizers.PATTERN, tokens.scrub).drop("text", "edited")
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode_decode(docs, public_tokenizers.path(PIECES))
@@ -61,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_sentencepiece, op5_media_columns, op6_toxicity, op7_secret_scans, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_license_scans, op4_sentencepiece, op5_media_columns, op6_toxicity, op7_secret_scans, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -74,6 +83,7 @@ ORACLES = {
         n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
         SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
         FROM e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
+    "op3_license_scans": licenses.oracle(),
     "op10_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,

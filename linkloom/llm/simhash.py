@@ -199,12 +199,21 @@ def near_links(fps: DataFrame, radius: int, n: int, block: int = BLOCK) -> DataF
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """(doc_id, fp long, component_id): a row per row of df; component_id is the smallest id that links reach."""
-    marked = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, seed).drop("text"))
+    """(doc_id, text_hash, fp, component_id, root): a row per row of df; component_id is the smallest id that links reach, root the component's least fp."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    marked = cut(fingerprints(rows, "text", words, seed).drop("text"))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = near_links(distinct.select("fp"), radius, distinct.count())
     roots = components(links)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = member.join(least, "root").select("fp", "component_id", "root")
+    return marked.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def one_of_each(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of df with the smallest id of each component that near_duplicates found; null ids come last."""
+    last = (1 << 63) - 1
+    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("__d"), F.col("text_hash").alias("__k"))).alias("b")).select("b.__d", "b.__k")
+    keyed = df.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(last)), "__k": F.xxhash64(F.col(text))})
+    return keyed.join(best, ["__d", "__k"]).dropDuplicates(["__d", "__k"]).select(*[F.col(f"`{c}`") for c in df.columns])
