@@ -267,16 +267,47 @@ def maximal_repeats(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, least:
             yield size, order[first : last + 1]
 
 
+def repeated_part(flat: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings cut to the part that windows of `least` bytes cover whose hash occurs again among all strings.
+
+    (bytes, ends, which string, bytes cut off before). Equal windows have equal hashes, so no repeat is lost; the rest
+    need not be sorted.
+    """
+    begins = np.concatenate(([0], ends[:-1]))
+    sizes = np.maximum(ends - begins - least + 1, 0)
+    at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    if not len(at):
+        return flat[:0], ends[:0], ends[:0], ends[:0]
+    own = np.repeat(np.arange(len(ends)), sizes)
+    hashes = window_hashes(word_hashes(flat), at, least)
+    order = np.argsort(hashes)
+    sorted_ = hashes[order]
+    same = sorted_[1:] == sorted_[:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    hit = np.nonzero(again)[0]
+    row, first = np.unique(own[hit], return_index=True)
+    last = np.append(first[1:], len(hit))[: len(row)] - 1
+    lo, hi = at[hit[first]], at[hit[last]] + least
+    n = hi - lo
+    stops = np.cumsum(n)
+    return flat[np.repeat(lo - (stops - n), n) + np.arange(int(n.sum()))], stops, row, lo - begins[row]
+
+
 def compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Ranges (d, k, a, b) to remove, from contexts (h, d, k, a, ctx) that are sorted by h."""
     for t in whole_groups(batches, ["h"], 8_000):
-        ctx = t.column("ctx").combine_chunks()
-        sizes = pc.binary_length(ctx).to_numpy().astype(np.int64)
+        flat, ends = long_bytes(t.column("ctx").combine_chunks())
+        d, k, a = (t.column(c).to_numpy() for c in ("d", "k", "a"))
+        flat, ends, row, skip = repeated_part(flat, ends, least)
+        if not len(row):
+            continue
+        d, k, a = d[row], k[row], a[row] + skip
+        sizes = np.diff(np.concatenate(([0], ends)))
         begins = np.cumsum(sizes + 8) - (sizes + 8)
         b = np.zeros(int((sizes + 8).sum()), np.uint8)
-        flat, ends = long_bytes(ctx)
         b[np.repeat(begins - (ends - sizes), sizes) + np.arange(len(flat))] = flat
-        d, k, a = (t.column(c).to_numpy() for c in ("d", "k", "a"))
         own = np.searchsorted(begins, np.arange(len(b)), side="right") - 1
         docs = np.unique(np.stack((d, k), 1), axis=0, return_inverse=True)[1].ravel()
         where = a[own] + np.arange(len(b)) - begins[own]
@@ -346,9 +377,12 @@ def deduplicate(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text: s
     wide = cut(several.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > MOST_CONTEXTS).select("h", F.lit(True).alias("wide")))
     want = several.join(wide, "h", "left").groupBy("d", "k").agg(F.collect_list(F.struct("h", "a", "n", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("want"))
     fetched = docs.join(want, ["d", "k"]).dropDuplicates(["d", "k"]).select("d", "k", "text", "want").mapInArrow(lambda it: contexts(it, least), "h long, d long, k long, a long, ctx binary")
+    some_wide = not wide.isEmpty()
+    if some_wide:  # read twice
+        fetched = cut(fetched)
     marks = found.filter("mark = 1").select("d", "k", "a", (F.col("a") + F.col("n")).alias("b"))
     marks = marks.union(fetched.filter("ctx IS NOT NULL").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: compare(it, least), "d long, k long, a long, b long"))
-    if not wide.isEmpty():
+    if some_wide:
         windows = fetched.filter("ctx IS NULL").select("h", F.struct("d", "k", "a").alias("at"))
         first = windows.groupBy("h").agg(F.min("at").alias("first"))
         marks = marks.union(windows.join(first, "h").filter("at <> first").select("at.d", "at.k", "at.a", (F.col("at.a") + least).alias("b")))
