@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 QUOTES = {'"': '"', "'": "'", "“": "”", "”": "”", "‘": "’", "«": "»"}
 WORDS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None, "undefined": None, "NaN": None}
 FENCE = re.compile(r"```[a-zA-Z]*\s*\n?(.*?)```", re.S)
+COMMENT = re.compile(r"/\*|\s//|\s#")
 NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?$")
 
 
@@ -80,6 +81,8 @@ class Reader:
         begin = self.i
         while self.i < len(self.t) and self.t[self.i] not in stops:
             self.i += 1
+        if m := COMMENT.search(self.t, begin, self.i):
+            self.i = m.start()
         return self.t[begin : self.i].strip()
 
     def value(self) -> object:
