@@ -29,8 +29,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
-#: Parts of an identifier: words of letters with or without a number behind, or numbers.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,4}|\d+")
+#: Parts of an identifier: words of letters (camel case too) with or without a short number behind, or numbers.
+IDENTIFIER = re.compile(r"[A-Za-z]*\d{0,4}|\d+")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
