@@ -47,20 +47,21 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about SLICE_BYTES; a single longer row is a piece of its own."""
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `most` bytes; a single longer row is a piece of its own."""
     total, start = np.cumsum(sizes), 0
     while start < len(sizes):
         base = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + SLICE_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(total, base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
 
-def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: list[T.StructField]) -> DataFrame:
+def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: list[T.StructField], most: int = SLICE_BYTES) -> DataFrame:
     """df with the new fields after its own columns, from whole texts, Arrow batch by Arrow batch.
 
     make() is called once a task and gives the function from a list of texts (null: empty) to the new arrays.
+    A slice of a batch has about `most` bytes of text, which bounds what fn holds at a time.
     A column of the input whose name a new field has (in any case) is replaced.
     """
     new = {f.name.lower() for f in fields}
@@ -75,7 +76,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]
         fn = make()
         for batch in batches:
             sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
-            for part in slices(batch, sizes):
+            for part in slices(batch, sizes, most):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + fn(texts), names=names)
 

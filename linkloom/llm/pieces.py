@@ -28,7 +28,9 @@ NONE = np.int64(1 << 60)
 #: Symbols from here on stand for characters that are not in the vocabulary.
 ODD = 1 << 20
 #: Distinct units that a task remembers before it begins anew.
-MOST_UNITS = 250_000
+MOST_UNITS = 150_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 
 
 def runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -246,4 +248,4 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text") -> DataFra
     """
     with open(model_path, "rb") as f:
         model = f.read()
-    return add_columns(df, text, lambda: Coder(model), [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return add_columns(df, text, lambda: Coder(model), [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], SLICE)
