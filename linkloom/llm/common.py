@@ -57,6 +57,16 @@ def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = SLICE_BYTES) ->
         start = end
 
 
+#: Rows of whole texts that go to a Python worker in one Arrow batch: bounds what the worker and the JVM's buffers hold.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to BATCH_ROWS from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: list[T.StructField], most: int = SLICE_BYTES) -> DataFrame:
     """df with the new fields after its own columns, from whole texts, Arrow batch by Arrow batch.
 
@@ -80,7 +90,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + fn(texts), names=names)
 
-    return src.mapInArrow(run, schema)
+    return small_batches(src).mapInArrow(run, schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:

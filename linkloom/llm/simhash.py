@@ -79,7 +79,7 @@ def fingerprints_of(texts: list[str], words: int = 4, seed: int = 42) -> np.ndar
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """df with fp long: the fingerprint of each whole text, as a signed number of the same bits."""
-    return add_columns(df, text, lambda: lambda texts: [pa.array(fingerprints_of(texts, words, seed).view(np.int64))], [T.StructField("fp", T.LongType())])
+    return add_columns(df, text, lambda: lambda texts: [pa.array(fingerprints_of(texts, words, seed).view(np.int64))], [T.StructField("fp", T.LongType())], 1 << 20)
 
 
 def shifted(words: np.ndarray, d: int) -> np.ndarray:

@@ -22,11 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import add_columns, cut
+from linkloom.llm.common import add_columns, cut, slices, small_batches
 
 #: Bounds of the sample that stems and weights are fitted on, and of the learned lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_STEMS = 4000, 8000, 4000
@@ -117,7 +118,7 @@ class Grammar:
         """A lower-case word's class and weight."""
         hit = self.seen.get(word)
         if hit is None:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             hit = self.classes.get(word, (OTHER, 0.0))
             if hit[0] in (OTHER, INSULT):
@@ -169,15 +170,15 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got: Counter = Counter()
+        for b in (part for whole in batches for part in slices(whole, pc.binary_length(whole.column(0)).fill_null(0).to_numpy(zero_copy_only=False), 1 << 20)):
+            got: Counter = Counter()  # of a MB of text, so that it stays small
             for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set(WORD.findall((t or "").lower()))
                 got.update((f, x) for f in {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k})
             keys = list(got)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([got[k] for k in keys], pa.int64())], names=["f", "toxic", "n"])
 
-    by = rows.mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y"), F.sum("n").alias("n"))
+    by = small_batches(rows).mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y"), F.sum("n").alias("n"))
     z, p = 1.645, F.col("y") / F.col("n")
     low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     few = max(4, rows.filter("toxic = 1").count() // 100)  # else words of a few near copies would do
