@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions.similarity import resolver_similarity
 from linkloom.operators.relational import top_k
+from linkloom.operators.search import trigram_matches
 
 
 def reject_reason(age_days: Column, most_days: int, same_sender: Column, conc: Column, form: Column) -> Column:
@@ -72,3 +74,59 @@ def threshold_for(category: Column, thresholds: Column, default: float, low: flo
 
 def retry_route(error: Column) -> Column:
     return F.when(error.rlike("CircuitBreaker|Network|Timeout"), "retry_later").when(error.rlike("IncompleteJson|ParseError"), "reparse").otherwise("other")
+
+
+def resolve(names: DataFrame, aliases: DataFrame, masters: DataFrame, approve: float = 0.92, review: float = 0.70, semantic: DataFrame | None = None) -> DataFrame:
+    """(name, master, confidence, method, approved) of each distinct name, nulls where nothing fits.
+
+    names: name; aliases: alias, master; masters: master, canonical; semantic: name, master, score, the nearest three.
+    In order: an alias (1.0), a canonical name (1.0), the first by name of up to three canonical names that contain the
+    name and are similar enough, the first of the semantic ones. Names of three characters or more meet canonical names
+    by their first three, shorter ones by all they have, so containment is an equi join with a filter.
+    """
+    n = names.select("name").filter(F.col("name").isNotNull()).distinct()
+    alias = aliases.groupBy(F.col("alias").alias("name")).agg(F.min("master").alias("m"))
+    same = masters.groupBy(F.col("canonical").alias("name")).agg(F.min("master").alias("m"))
+    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("canonical"), F.lit(1))), lambda i: F.array(*[F.substring(F.col("canonical"), i, F.lit(k)) for k in (1, 2, 3)])))))
+    holds = n.withColumn("g", F.substring("name", 1, 3)).join(masters.select("master", "canonical", grams.alias("g")), "g").filter(F.col("canonical").contains(F.col("name")))
+    near = top_k(holds.select("name", "master", "canonical").distinct(), ["name"], [F.asc("canonical"), F.asc("master")], 3)
+    near = near.withColumn("s", resolver_similarity(F.col("name"), F.col("canonical"))).filter(F.col("s") >= review)
+    parts = [(alias, F.lit(1.0), "alias"), (same, F.lit(1.0), "master"), (near.groupBy("name").agg(F.min_by("master", "rank").alias("m"), F.min_by("s", "rank").alias("s")), F.col("s"), "fuzzy")]
+    if semantic is not None:
+        close = semantic.filter(F.col("score") >= review).groupBy("name").agg(F.max_by("master", "score").alias("m"), F.max("score").alias("s"))
+        parts.append((close, F.col("s"), "semantic"))
+    hits = None
+    for k, (part, confidence, method) in enumerate(parts):
+        one = part.select("name", F.struct(F.lit(k).alias("k"), F.col("m").alias("master"), confidence.alias("confidence"), F.lit(method).alias("method")).alias("hit"))
+        hits = one if hits is None else hits.unionByName(one)
+    best = hits.filter("hit.master IS NOT NULL").groupBy("name").agg(F.min("hit").alias("hit"))
+    return n.join(best, "name", "left").select("name", "hit.master", "hit.confidence", "hit.method", (F.col("hit.confidence") >= approve).alias("approved"))
+
+
+def fallback_match(masters: tuple[Column, Column], confidences: tuple[Column, Column], equal: Column, similarity: Column, raw_similarity: Column, embedding: Column | None = None, least: float = 0.70, least_embedding: float = 0.80) -> Column:
+    """struct(method, score, high): same master, equal names, .85 names + .15 raw names from `least`, then a kept embedding."""
+    score = 0.85 * similarity + 0.15 * raw_similarity
+    of = lambda name, s, high: F.struct(F.lit(name).alias("method"), s.alias("score"), high.alias("high"))
+    out = F.when(masters[0] == masters[1], of("same_master", (confidences[0] + confidences[1]) / 2, F.lit(True))).when(equal, of("exact", F.lit(1.0), F.lit(True))).when(score >= least, of("fuzzy", score, score >= 0.90))
+    if embedding is not None:
+        out = out.when(embedding >= least_embedding, of("embedding", embedding, embedding >= 0.90))
+    return out.otherwise(of("none", score, F.lit(False)))
+
+
+def by_strategy(pairs: DataFrame, strategy: str, match: str = "match") -> DataFrame:
+    """The pairs that a fallback strategy returns: found ones, all as queued, or none."""
+    if strategy == "reject":
+        return pairs.filter("false")
+    if strategy == "queue":
+        return pairs.withColumn(match, F.struct(F.lit("none").alias("method"), F.lit(0.0).alias("score"), F.lit(False).alias("high")))
+    if strategy not in ("deterministic", "embeddings"):
+        raise ValueError(strategy)
+    return pairs.filter(F.col(match)["method"] != "none")
+
+
+def alias_suggestions(pending: DataFrame, masters: DataFrame, least: float = 0.6) -> DataFrame:
+    """(alias, seen, master, similarity): the best canonical name by trigrams of each pending alias, if it reaches `least`."""
+    hits = trigram_matches(pending.select(F.col("alias").alias("a")).distinct(), masters.select(F.col("canonical").alias("b")).distinct(), least)
+    best = top_k(hits, ["a"], [F.desc("similarity"), F.asc("b")], 1)
+    counts = pending.groupBy("alias").agg(F.count("*").alias("seen"))
+    return counts.join(best, F.col("alias") == F.col("a")).select("alias", "seen", F.col("b").alias("master"), "similarity")

@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from linkloom.plans import ingest, linking, reports
+from linkloom.plans import adapting, ingest, linking, reports
 from linkloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "linking", "reports"]
+__all__ = ["ORACLES", "QUERIES", "adapting", "ingest", "linking", "reports"]
