@@ -25,8 +25,10 @@ from linkloom.llm.common import add_columns
 
 SPACE = "▁"
 NONE = np.int64(1 << 60)
-#: Symbols from here on stand for characters that are not in the vocabulary.
-ODD = 1 << 20
+#: Symbols from here on stand for characters that are not in the vocabulary; above all code points.
+ODD = 1 << 21
+#: Bits of a symbol in the key of a pair: ODD and any code point together stay below.
+BITS = 22
 #: Distinct units that a task remembers before it begins anew.
 MOST_UNITS = 150_000
 #: Bytes of text that are encoded together.
@@ -70,7 +72,7 @@ class Pieces:
             for k in range(1, len(p)):
                 a, b = self.id_of.get(p[:k]), self.id_of.get(p[k:])
                 if a is not None and b is not None:
-                    pairs[a << 21 | b] = (ranks[score[i]], i)
+                    pairs[a << BITS | b] = (ranks[score[i]], i)
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
@@ -84,12 +86,12 @@ class Pieces:
         self.units = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+|\n+").findall
         self.first = np.full(ODD, -1, np.int64)
         for p, i in self.id_of.items():
-            if len(p) == 1 and ord(p) < ODD:
+            if len(p) == 1:
                 self.first[ord(p)] = i
 
     def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The index of each pair in the tables, or -1."""
-        k = a << 21 | b
+        k = a << BITS | b
         i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[i] == k, i, -1)
 
@@ -98,8 +100,8 @@ class Pieces:
         n = len(units)
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         lens = np.fromiter(map(len, units), np.int64, n)
-        sym = np.where(points < ODD, self.first[np.minimum(points, ODD - 1)], -1)
-        sym = np.where(sym < 0, ODD + np.minimum(points, ODD - 1), sym)
+        sym = self.first[points]
+        sym = np.where(sym < 0, ODD + points, sym)
         own = np.repeat(np.arange(n), lens)
         done_sym, done_own, hard = [], [], []
         while len(sym):
@@ -177,7 +179,7 @@ class Pieces:
         heap: list[tuple[int, int, int, int, int]] = []
 
         def add(i: int, j: int) -> None:
-            if 0 <= i and j < len(sym) and (hit := self.pairs.get(sym[i] << 21 | sym[j])):
+            if 0 <= i and j < len(sym) and (hit := self.pairs.get(sym[i] << BITS | sym[j])):
                 heapq.heappush(heap, (hit[0], i, j, sym[i], sym[j]))
 
         for i in range(len(sym) - 1):
@@ -186,7 +188,7 @@ class Pieces:
             _, i, j, a, b = heapq.heappop(heap)
             if sym[i] != a or sym[j] != b or nxt[i] != j:
                 continue
-            sym[i], sym[j] = self.pairs[a << 21 | b][1], None
+            sym[i], sym[j] = self.pairs[a << BITS | b][1], None
             nxt[i] = nxt[j]
             if nxt[j] < len(sym):
                 prv[nxt[j]] = i

@@ -70,6 +70,21 @@ def test_one_by_one_merges_equal_rounds():
         assert coder.pieces.one_by_one(u) == ids[a : a + n].tolist()
 
 
+def test_pieces_keep_the_last_planes():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    coder = pieces.Coder(open(path, "rb").read())
+    texts = ["\U00100001", "a \U000fffff\U00100000\U00100001 the \U0010ffff", "the\U0010fffdthe 日本 \U00100001\U00100001"]
+    ids, shown = coder(texts)
+    assert ids.to_pylist() == lib.encode(texts) and shown.to_pylist() == lib.decode(lib.encode(texts)) == texts
+    for u in ("▁the\U00100001ing", "\U0010ffff\U0010ffff"):
+        flat, _ = coder.pieces.encode_units([u])
+        one = np.array(coder.pieces.one_by_one(u), np.int64)
+        assert coder.pieces.with_bytes(one, np.zeros(len(one), np.int64), 1)[0].tolist() == flat.tolist()
+
+
 def test_media_round_trip(docs, empty):
     got = media.to_media(docs).collect()
     for r in got:
