@@ -3,8 +3,10 @@
 A run of token characters is random-looking if a byte-level vocabulary needs many tokens for it: few characters a token.
 Runs are taken from whole texts; each distinct run is encoded once. Left out before the test are runs that are known
 digests (hexadecimal of the lengths of MD5, SHA-1, SHA-2, a UUID), decimal numbers, and identifiers: words joined by
-_, -, . or /, camel case, without a part that mixes letters and digits. What the patterns found stays in any case; a
-random run that touches one of those spans is not reported again.
+_, -, . or /, camel case, without a part that mixes letters and digits. An identifier's letters are tested by
+themselves: each part of LONG letters or more, and its parts of SHORT letters or more together. Only parts of fewer
+than SHORT letters, and fewer than 20 letters of short parts together, go untested. What the patterns found stays in
+any case; a random run that touches one of those spans is not reported again.
 
 Defined cases: null and empty texts have no spans; texts are whole; repeated rows give repeated rows; input columns
 named like the new ones are replaced.
@@ -31,6 +33,9 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 #: Parts of an identifier: words of letters (camel case too) with or without a short number behind, or numbers.
 IDENTIFIER = re.compile(r"[A-Za-z]*\d{0,4}|\d+")
+LETTERS = re.compile(r"[A-Za-z]+")
+#: Letters from which a part of an identifier is tested alone, and from which it counts among the short ones.
+LONG, SHORT = 12, 4
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -46,10 +51,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def known(run: str) -> bool:
-    """Whether a run is a digest, a number or an identifier."""
-    if DIGEST.fullmatch(run):
-        return True
+def identifier(run: str) -> bool:
+    """Whether a run has the form of a number or an identifier."""
     return all(IDENTIFIER.fullmatch(p) for p in re.split(r"[_./=+-]+", run) if p)
 
 
@@ -66,9 +69,19 @@ class Scanner:
         if hit is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            hit = self.seen[run] = not known(run) and len(run) < self.most_ratio * len(self.count(run))
+            hit = self.seen[run] = not DIGEST.fullmatch(run) and (self.odd_letters(run) if identifier(run) else self.dense([run]))
         return hit
 
+    def dense(self, parts: list[str]) -> bool:
+        """Whether the parts, each encoded alone, have too few characters a token."""
+        return sum(map(len, parts)) < self.most_ratio * sum(len(self.count(p)) for p in parts)
+
+    def odd_letters(self, run: str) -> bool:
+        """Whether an identifier has a long part, or enough short ones together, that no words make up."""
+        parts = [p for p in LETTERS.findall(run) if len(p) >= SHORT]
+        short = [p for p in parts if len(p) < LONG]
+        return any(len(p) >= LONG and self.dense([p]) for p in parts) or (sum(map(len, short)) >= 20 and self.dense(short))
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         out = base_spans(text)
         more = []

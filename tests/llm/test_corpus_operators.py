@@ -131,6 +131,15 @@ def test_secrets_base_and_random():
     assert s.spans("some_long_identifier_name_for_tests and internationalisationandmore") == []
 
 
+def test_secrets_of_letters_only():
+    s = secrets.Scanner(secrets.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, 2.2)
+    found = ["qwXzRtYpLkJhGfDsAzXcVbNm", "xkqzvwjfhpbtgmrdlycnsu", "xkqzvwjfhpbtgmrdlycnsu2024", "my_xkqzvwjfhpbtgmrd_value_2024", "qwXzRtYp_LkJhGfDs_AzXcVbNm", "xkqzv/wjfhp/btgmr/dlycn1999"]
+    for w in found:
+        assert s.spans(f"key is {w} there") == [(7, 3, 7 + len(w))]
+    clean = ["getHTTPResponseCodeForURL", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "MAX_CONNECTION_TIMEOUT_2024", "src/main/java/org/apache/commons", "a/b/c/d/e/f/g/h/i/j/k/l", "1234567890.1234567890", "5D41402ABC4B2A76B9719D911017C592"]
+    assert all(s.spans(f"see {w} there") == [] for w in clean)
+
+
 def test_secrets_query_columns(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = secrets.scan(docs, path, public_tokenizers.PATTERN)
