@@ -9,12 +9,17 @@ first.
 
 Defined cases: null and empty texts, and segments of fewer than two words, match nothing (0 segments, null licence,
 null score); equal segments of a document count once; ties between templates go to the first; texts are whole.
+
+scan() sees a line or paragraph only as a whole. runs() compares every run of consecutive words of the text, so it also
+finds notices inside a line of prose and headers whose lines begin with comment marks. A best run begins and ends with
+a bigram of the template, so only these places are tried; a text without a few telling bigrams is passed over.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +122,97 @@ def scan(df: DataFrame, text: str = "text", least: float = 0.8, templates: tuple
     return found.select(*kept, F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_segments"), top["license"].alias("license"), top["dice"].alias("dice"))
 
 
+def telling_pairs(words: list[str], least: float) -> set[tuple[str, str]]:
+    """Few bigrams of a template, so that each run with Dice >= least has one of them."""
+    times = Counter(zip(words, words[1:], strict=False))
+    may_miss = (len(words) - 1) * (1 - least / (2 - least))
+    out: set[tuple[str, str]] = set()
+    for p in sorted(times, key=lambda p: (sum(w in COMMON for w in p), -times[p], p)):
+        if sum(times[q] for q in out) > may_miss:
+            break
+        out.add(p)
+    return out
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def runs(df: DataFrame, text: str = "text", least: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """df with n_licenses long (distinct licences that a run of words matches), license string and dice double of the best run."""
+    words = [plain(t) for _, t in templates]
+    times = [Counter(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)) for w in words]
+    seconds: dict[str, set[str]] = {}
+    for w in words:
+        for a, b in telling_pairs(w, least):
+            seconds.setdefault(a, set()).add(b)
+    trigger = "(?<![a-z0-9])(?:" + "|".join(f"{a}[^a-z0-9]+(?:{'|'.join(sorted(bs))})" for a, bs in sorted(seconds.items())) + ")(?![a-z0-9])"
+    every = sorted(set().union(*times))
+
+    def best(k: int, hits: Column) -> Column:
+        size = sum(times[k].values())
+        far, need = int(size * (2 - least) / least) + 1, max(1, int(size * least / (2 - least)))
+        often = lambda b: F.coalesce(*[F.when(b == p, F.lit(n)) for p, n in times[k].items() if n > 1], F.lit(1))
+
+        def with_limit(h: Column) -> Column:
+            """Each hit with the latest begin from before which it is one too many of its bigram, or 0."""
+            earlier = lambda x, j: F.filter(F.slice(h, F.greatest(j - far, F.lit(0)) + 1, F.least(j, F.lit(far))), lambda y: y["b"] == x["b"])
+            limit = lambda x, j: let(earlier(x, j), lambda e: F.when(F.size(e) >= often(x["b"]), F.element_at(e, -often(x["b"]))["i"]).otherwise(0))
+            return F.transform(h, lambda x, j: F.struct(x["i"].alias("i"), limit(x, j).alias("limit")))
+
+        def from_each(h: Column) -> Column:
+            def step(a: Column) -> Callable[[Column, Column], Column]:
+                def f(acc: Column, y: Column) -> Column:
+                    both = acc["both"] + F.when(y["limit"] < a["i"], 1).otherwise(0)
+                    return F.struct(both.alias("both"), F.greatest(acc["dice"], 2.0 * both / (y["i"] - a["i"] + 1 + size)).alias("dice"))
+
+                return f
+
+            start = F.struct(F.lit(0).alias("both"), F.lit(0.0).alias("dice"))
+            dense = lambda a, j: F.get(h, j + need - 1)["i"] - a["i"] < far
+            return F.array_max(F.transform(h, lambda a, j: F.when(dense(a, j), F.aggregate(F.slice(h, j + 1, far), start, step(a))["dice"])))
+
+        mine = F.filter(hits, lambda x: x["b"].isin(*times[k]))
+        dice = let(mine, lambda h: F.when(F.size(h) >= need, let(with_limit(h), from_each)))
+        return let(dice, lambda d: F.when(d >= least, F.struct(d.alias("dice"), F.lit(-k).alias("order"), F.lit(templates[k][0]).alias("license"))))
+
+    def hits_of(ws: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.struct(i.alias("i"), F.concat(F.element_at(ws, i), F.lit(" "), F.element_at(ws, i + 1)).alias("b")))
+        return F.filter(pairs, lambda x: x["b"].isin(*every))
+
+    ws = F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")), " ")
+    of_each = let(let(ws, hits_of), lambda h: F.array(*[best(k, h) for k in range(len(templates))]))
+    names = {"n_licenses", "license", "dice"}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+    found = df.withColumn("__hits", F.when(F.lower(F.col(text)).rlike(trigger), F.filter(of_each, lambda b: b.isNotNull())))
+    top = F.array_max("__hits")
+    n = F.size(F.array_distinct(F.transform("__hits", lambda b: b["license"])))
+    return found.select(*kept, F.when(F.col("__hits").isNull(), 0).otherwise(n).cast("long").alias("n_licenses"), top["license"].alias("license"), top["dice"].alias("dice"))
+
+
+def runs_oracle(least: float = 0.8) -> str:
+    """The rows of runs() by DuckDB: every run that begins and ends with a bigram of a template, without a choice of telling ones."""
+    values = ", ".join(f"({k}, '{name}', '{' '.join(plain(t))}')" for k, (name, t) in enumerate(TEMPLATES))
+    return f"""
+        WITH t AS (SELECT * FROM (VALUES {values}) AS x(k, license, words)),
+        tb AS (SELECT k, b, count(*) AS c FROM (SELECT k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT k, string_split(words, ' ') AS w FROM t)) GROUP BY ALL),
+        ts AS (SELECT k, sum(c)::BIGINT AS n FROM tb GROUP BY k),
+        dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+        db AS (SELECT doc_id, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM dw),
+        h AS (SELECT doc_id, k, n, i, b, c FROM db JOIN tb USING (b) JOIN ts USING (k)),
+        e AS (SELECT doc_id, k FROM h GROUP BY doc_id, k, n HAVING count(*) >= n * {least} / (2 - {least}) - 1e-6),
+        g AS (SELECT h.* FROM h JOIN e USING (doc_id, k)),
+        r AS (SELECT a.doc_id, a.k, a.n, a.i AS i, z.i AS j FROM g a JOIN g z ON a.doc_id = z.doc_id AND a.k = z.k AND z.i BETWEEN a.i AND a.i + a.n * (2 - {least}) / {least}),
+        m AS (SELECT r.doc_id, r.k, r.n, r.i, r.j, g.b, least(count(*), g.c) AS c FROM r JOIN g ON g.doc_id = r.doc_id AND g.k = r.k AND g.i BETWEEN r.i AND r.j GROUP BY r.doc_id, r.k, r.n, r.i, r.j, g.b, g.c),
+        d AS (SELECT doc_id, k, 2.0::DOUBLE * sum(c) / (j - i + 1 + n) AS dice FROM m GROUP BY doc_id, k, n, i, j),
+        o AS (SELECT doc_id, k, max(dice) AS dice FROM d WHERE dice >= {least} GROUP BY ALL),
+        f AS (SELECT o.*, t.license, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k) AS r FROM o JOIN t USING (k)),
+        c AS (SELECT doc_id, count(DISTINCT license) AS n FROM f GROUP BY 1)
+        SELECT documents.doc_id, coalesce(c.n, 0) AS n_licenses, f.license, f.dice
+        FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN f ON f.doc_id = documents.doc_id AND f.r = 1"""
+
+
 def oracle(least: float = 0.8) -> str:
     """The same rows by DuckDB, every segment against every template of a fitting size."""
     values = ", ".join(f"({k}, '{name}', '{' '.join(plain(t))}')" for k, (name, t) in enumerate(TEMPLATES))

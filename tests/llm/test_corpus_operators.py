@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -343,6 +344,34 @@ def test_licenses_equal_brute_force(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_runs_equal_brute_force(spark, empty):
+    mit, gpl = licenses.TEMPLATES[3][1].split(), licenses.TEMPLATES[9][1].split()
+    wrap = lambda ws, mark, n: "\n".join(mark + " ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    prose_of = "Written by its authors. Released under the MIT License. Send patches to the list."
+    rows = [(1, "/*\n * Copyright 2020 me\n *\n" + wrap(mit, " * ", 9) + "\n *\n */ int main"), (2, wrap(gpl, "# ", 8)), (3, prose_of), (4, None), (5, "one"), (6, "mit license " * 9), (7, "mit der und dem")]
+    pool = "released licensed under the mit license cc by nc sa 4 0 is work a this of to gnu general public version 3".split()
+    rows += [(i, " ".join(R.choices(pool, k=R.randint(0, 25)) + ["licensed under cc by nc 4 0"] * (i % 2))) for i in range(10, 30)]
+    got = {r["doc_id"]: r for r in licenses.runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ts = [(name, Counter(zip(w, w[1:]))) for name, t in licenses.TEMPLATES for w in [licenses.plain(t)]]
+    for i, t in rows:
+        w = licenses.plain(t or "")
+        pairs, best = list(zip(w, w[1:])), {}
+        for k, (name, want) in enumerate(ts):
+            n = sum(want.values())
+            for a in range(len(pairs)):
+                seen, both = Counter(), 0
+                for z in range(a, min(len(pairs), a + 2 * n)):
+                    seen[pairs[z]] += 1
+                    both += seen[pairs[z]] <= want[pairs[z]]
+                    if (d := 2.0 * both / (z - a + 1 + n)) >= 0.8:
+                        best[k] = max(best.get(k, 0), d)
+        top = max(((d, -k) for k, d in best.items()), default=None)
+        assert got[i]["n_licenses"] == len({ts[k][0] for k in best})
+        assert (got[i]["license"], got[i]["dice"]) == ((ts[-top[1]][0], top[0]) if top else (None, None))
+    assert (got[1]["license"], got[2]["license"], got[3]["license"], got[3]["dice"]) == ("MIT", "GPL-3.0-or-later", "MIT", 1.0)
+    assert licenses.runs(empty).count() == 0
+
+
 def test_components_reach_the_smallest(spark):
     from linkloom.llm.common import components
 
