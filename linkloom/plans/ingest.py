@@ -58,6 +58,14 @@ def intent_split(t):
     return out.join(plain.distinct(), ["conv_id", "turn"], "left_semi")
 
 
+@query()
+def intent_segments(t):
+    """All segments of all conversations; intent_split keeps to what its SQL says: messages without a marker word."""
+    splitting.register(t.spark)
+    t.conversations.createOrReplaceTempView("linkloom_messages")
+    return t.spark.sql("SELECT conv_id, turn, s.number, s.intent, s.segment FROM linkloom_messages, LATERAL split_by_intent(text) s")
+
+
 @query("SELECT doc_id, sum(length(text))::BIGINT AS total FROM documents GROUP BY 1")
 def chunk_text(t):
     splitting.register(t.spark)

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from linkloom.functions import splitting
 from linkloom.operators import learning as L
 from linkloom.operators import linkage as K
 from linkloom.operators import quality as Q
 from linkloom.operators import relational as R
 from linkloom.operators import search as S
+from linkloom.plans import QUERIES
 from linkloom.sources import tables as T
 from linkloom.streaming import ingest as I
 
@@ -96,3 +98,28 @@ def test_streams(spark):
     assert [r.allowed for r in got] == [True, True, False, True]
     m = spark.createDataFrame([("a@g.us", False, "x"), ("b@c", False, "x"), ("a@g.us", True, "x"), ("a@g.us", False, " ")], "group_jid string, is_from_me boolean, content string")
     assert I.guarded(m).count() == 1
+
+
+def by_hand(text):
+    """(number, intent, segment), letter by letter."""
+    marks = []
+    for pattern, intent in ((splitting.OFFER, "Offer"), (splitting.REQUEST, "Request")):
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            marks += [(at, intent)] if m else []
+            at = m.end() if m else at + 1
+    out, intent, start = [], "Unknown", 0
+    for at, after in [*sorted(marks), (len(text), None)]:
+        if text[start:at].strip():
+            out.append((len(out), intent, text[start:at].strip()))
+        start, intent = at, after
+    return out
+
+
+def test_intent_segments_of_all_messages(spark, tmp_path):
+    texts = ["hello available panadol need aspirin", "I have x for sale", "plain", "", None, "مطلوب دواء متوفر بندول", "behave kneed", "we need\nneed it\n\nselling two looking for one", " wanted "]
+    spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, QUERIES["intent_segments"](spark, str(tmp_path)).collect()))
+    assert got == [(i, 0, *r) for i, x in enumerate(texts) for r in by_hand(x or "")]
+    assert {r[3] for r in got} == {"Offer", "Request", "Unknown"}
