@@ -44,6 +44,12 @@ def pair_key(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("pair_a"), F.greatest(a, b).alias("pair_b")]
 
 
+def probe(pairs: DataFrame, listed: DataFrame, name: str) -> DataFrame:
+    """pairs (pair_a, pair_b) with a boolean column: whether the pair is in the list, which has unordered pair keys too."""
+    keys = listed.select("pair_a", "pair_b").distinct().withColumn(name, F.lit(True))
+    return pairs.join(keys, ["pair_a", "pair_b"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def insert_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
 
