@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
     return top_k(hits.select("query_id", "vec_id", "similarity"), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
 
 
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096) -> DataFrame:
+    """The rows of nearest(), for many queries: blocks of about so many vectors and of queries meet in pairs, and each pair keeps a query's best k (and ties after rounding)."""
+    n_v, n_q = (max(1, -(-df.count() // rows)) for df in (vectors, queries))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select("vec_id", "embedding", block(n_v).alias("v_block"), all_of(n_q).alias("q_block"))
+    q = queries.select("vec_id", "embedding", all_of(n_v).alias("v_block"), block(n_q).alias("q_block"))
+
+    def unit(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+        t = t.filter(pc.equal(pc.list_value_length(t["embedding"]), size))
+        m = pc.list_flatten(t["embedding"]).to_numpy().astype(float).reshape(-1, size)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return t["vec_id"].to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        sizes = pc.unique(pc.list_value_length(right["embedding"])).to_pylist() if left.num_columns and right.num_columns else []
+        for size in filter(None, sizes):
+            (ids, a), (asked, b) = unit(left, size), unit(right, size)
+            for i, near in zip(asked, b @ a.T, strict=True):
+                near = np.where(ids == i, -np.inf, near)
+                least = np.partition(near, -k)[-k] if len(near) > k else -2.0
+                take = np.nonzero(near >= max(least - 2e-6, -2.0))[0]
+                for part, x in zip(out, (np.full(len(take), i), ids[take], near[take]), strict=True):
+                    part.append(x)
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, types, strict=True)], ["query_id", "vec_id", "similarity"])
+
+    keys = ["v_block", "q_block"]
+    hits = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, similarity double")
+    return top_k(hits.withColumn("similarity", F.round("similarity", 6)), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
+
+
 def fuse(parts: list[tuple[str, DataFrame]], key: list[str], k: int, group: str) -> DataFrame:
     """Hits of several methods, (group, key..., score): the first method that has a key wins it; then the k best of each group."""
     out = None

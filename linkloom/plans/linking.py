@@ -158,6 +158,12 @@ def cosine_topk(t):
     return S.nearest(t.embeddings, F.broadcast(t.embeddings.filter("vec_id IN (1, 2, 3)")), 5)  # three stated queries
 
 
+@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id)::INT AS rank FROM {VEC} e JOIN {VEC} q ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
+def cosine_neighbours(t):
+    """Every twentieth vector against all; cosine_topk keeps to the three queries of its SQL."""
+    return S.nearest_in_blocks(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 5)
+
+
 @query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id)::INT AS rank FROM {VEC} e JOIN {VEC} q ON e.vec_id <> q.vec_id AND e.label = q.label WHERE q.vec_id % 20 = 0 AND round(list_cosine_similarity(e.v, q.v), 6) >= 0.1) WHERE rank <= 3")
 def knn_per_group(t):
     return S.nearest(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 3, 0.1, ["label"])
@@ -319,3 +325,11 @@ def auto_decision(t):
 @query("SELECT DISTINCT least(l_suppkey, l_partkey) AS pair_a, greatest(l_suppkey, l_partkey) AS pair_b FROM lineitem WHERE l_linenumber = 1")
 def pair_keys(t):
     return t.lineitem.filter("l_linenumber = 1").select(*R.pair_key(F.col("l_suppkey"), F.col("l_partkey"))).distinct()
+
+
+@query("SELECT p.pair_a, p.pair_b, c.pair_a IS NOT NULL AS cooling FROM (SELECT DISTINCT least(l_suppkey, l_partkey) AS pair_a, greatest(l_suppkey, l_partkey) AS pair_b FROM lineitem) p LEFT JOIN (SELECT DISTINCT least(o_custkey, o_orderkey % 100) AS pair_a, greatest(o_custkey, o_orderkey % 100) AS pair_b FROM orders WHERE o_orderdate + INTERVAL 365 DAY > TIMESTAMP '1996-01-01') c USING (pair_a, pair_b)")
+def pair_cooldowns(t):
+    """The pairs of all lines, probed against pairs that cool down for a year from an order on; pair_keys keeps to the first lines of its SQL."""
+    pairs = t.lineitem.select(*R.pair_key(F.col("l_suppkey"), F.col("l_partkey"))).distinct()
+    cooling = t.orders.filter("o_orderdate + INTERVAL 365 DAY > TIMESTAMP '1996-01-01'").select(*R.pair_key(F.col("o_custkey"), F.col("o_orderkey") % 100))
+    return R.probe(pairs, cooling, "cooling")

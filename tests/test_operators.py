@@ -123,3 +123,21 @@ def test_intent_segments_of_all_messages(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["intent_segments"](spark, str(tmp_path)).collect()))
     assert got == [(i, 0, *r) for i, x in enumerate(texts) for r in by_hand(x or "")]
     assert {r[3] for r in got} == {"Offer", "Request", "Unknown"}
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark):
+    rows = [(i, [float((i * j * j + i) % 7 - 3) for j in range(1, 5)]) for i in range(90)] + [(100, [0.0] * 4), (101, None), (120, [1.0]), (140, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 20 = 0")
+    want = sorted(map(tuple, S.nearest(v, q, 5).collect()))
+    assert {r[0] for r in want} == {0, 20, 40, 60, 80, 100}
+    for size in (4096, 25, 3):
+        assert sorted(map(tuple, S.nearest_in_blocks(v, q, 5, size).collect())) == want
+    one = spark.createDataFrame([(20, [1.0, 0.0])], v.schema)
+    assert S.nearest_in_blocks(one, one, 5).count() == 0
+
+
+def test_pairs_of_all_lines_are_probed(spark, tmp_path):
+    spark.createDataFrame([(1, 7, 3, 1), (1, 9, 4, 2), (2, 3, 7, 2)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(104, 9, dt.datetime(1995, 6, 1)), (103, 7, dt.datetime(1994, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(map(tuple, QUERIES["pair_cooldowns"](spark, str(tmp_path)).collect())) == [(3, 7, False), (4, 9, True)]
