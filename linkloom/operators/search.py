@@ -57,7 +57,8 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     v = vectors.select("vec_id", "embedding", block(n_v).alias("v_block"), all_of(n_q).alias("q_block"))
-    q = queries.select("vec_id", "embedding", all_of(n_v).alias("v_block"), block(n_q).alias("q_block"))
+    # columns of their own: in a cogroup, both sides must not share any
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), all_of(n_v).alias("v_block"), block(n_q).alias("q_block"))
 
     def unit(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
         t = t.filter(pc.equal(pc.list_value_length(t["embedding"]), size))
@@ -67,7 +68,10 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
-        sizes = pc.unique(pc.list_value_length(right["embedding"])).to_pylist() if left.num_columns and right.num_columns else []
+        both = left.num_rows and right.num_rows
+        if both:
+            left, right = (pa.table([t[i], t[e]], ["vec_id", "embedding"]) for t, i, e in ((left, "vec_id", "embedding"), (right, "query_id", "asked")))
+        sizes = pc.unique(pc.list_value_length(right["embedding"])).to_pylist() if both else []
         for size in filter(None, sizes):
             (ids, a), (asked, b) = unit(left, size), unit(right, size)
             for i, near in zip(asked, b @ a.T, strict=True):
