@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,29 +23,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one of this machine only where the cluster names none, as in tests."""
+    """The folder that all machines share; one of this machine only in local mode where none is named, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = tempfile.mkdtemp(prefix="linkloom-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
+#: What this process has written in shared folders and not deleted yet, with the session that can delete it.
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def drop_all_cuts() -> None:
+    """Deletes all that cut() wrote in this process; runs when the process ends, as its results end with it."""
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may be gone
+            break
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.pop(path, None)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _new_path(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: ends the lineage, survives lost executors, has known size."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def bucketed_cut(df: DataFrame, keys: list[str]) -> DataFrame:
+    """cut() as a table in buckets of the keys, one for each shuffle partition: joins by the keys don't move its rows again.
+
+    The table is external, in the shared folder, and its name goes with the session's catalogue.
+    """
+    spark = df.sparkSession
+    path, n = _new_path(spark), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._cut_path = path
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes what cut() wrote, once nothing reads it any more."""
     if path := getattr(df, "_cut_path", None):
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
