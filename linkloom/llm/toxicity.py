@@ -1,16 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes (insult, threat, target, negation, report, quote) by a lexicon: stated word lists and stems that
-the labels show. Three transducers rewrite the class sequence of a clause - negation, reported speech, target - and
-are composed into one machine. What it writes for a clause (a plain insult, one at a target, a negated or reported
-one, a threat, a threat at a target) is counted, and a logistic model over the clauses' best weights and these counts
-gives the score. A word outside of the lexicon never moves the score, nor does a label, language, source or id.
+Words and marks become classes (insult, harm, target, negation, report, quotation and the parts of a threat's frame) by a
+lexicon: stated word lists, and stems that the labels show. Five weighted transducers rewrite the class sequence:
+
+- insult: reads insults with what strengthens them before ("total", "piece of") and runs of insults;
+- threat: a verb of harm is a threat only in a frame - I or we and a modal, or a modal said to the target - and "die"
+  only behind "you" and a modal, as it is an article elsewhere;
+- negation: reaches the three words behind it;
+- reported speech: from a verb of report to the end of the sentence, over a colon too, and all between quotation marks;
+- target: up to six words before an insult or threat, or three behind a threat.
+
+They are composed into one machine, whose states are made as they are met. Each arc has a weight; a path's weight is the
+product of its arcs' and of the word's in the lexicon. A clause weighs as much as what was matched in it. A logistic
+model over the two heaviest clauses, all but the heaviest together and the counts of what was matched gives the score. Its weights are
+fitted with a prior at DEFAULT, which holds where the labels say little. A word outside of the lexicon never moves the
+score, nor does a label, language, source or id.
 
 Stems and model weights are fitted on a bounded sample: at most MOST_TOXIC and MOST_CLEAN labelled documents, those of
 the least hash, none of them held out (crc32 of the id as text mod 3 is 1). Everything else covers all documents.
 
 Defined cases: null and empty texts have the score of a text without any matched clause; without enough labels of
-both kinds the stated lists and default weights hold; repeated rows give repeated rows.
+both kinds the stated lists and default weights hold; repeated rows give repeated rows; texts are whole; input columns
+named toxic_score or clauses are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +29,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,78 +41,115 @@ from linkloom.llm.common import add_columns, cut, slices, small_batches
 
 #: Bounds of the sample that stems and weights are fitted on, and of the learned lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_STEMS = 4000, 8000, 4000
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+OTHER, INSULT, HARM, DIE, TARGET, YOU, SELF, MODAL, FRAME, BOOST, NEGATION, REPORT, QUOTE, OPEN, CLOSE, COLON, END = range(17)
 #: Stated word lists; learned stems come beside them.
 LISTS = {
     INSULT: "idiot idiots moron morons stupid loser losers clown clowns scum trash pathetic worthless disgusting dumb imbecile imbécile idiota estúpido estúpida imbécil idiote stupide dumm dumme dummkopf abschaum",
-    THREAT: "kill hurt destroy die burn shoot murder töten umbringen tuer frapper matar morir",
-    TARGET: "you your you're he she they him her them his their du dich dein sie ihr tu te toi vous votre usted tú ustedes",
+    HARM: "kill hurt destroy burn shoot murder strangle töten umbringen vernichten tuer frapper écraser matar quemar destruir",
+    DIE: "die",
+    TARGET: "your you're yours he she they him her them his their du dich dir dein sie ihr euch tu te toi vous votre usted tú ti ustedes",
+    YOU: "you",
+    SELF: "i we ich wir je nous yo nosotros",
+    MODAL: "will shall should must gonna going deserve werde werden sollst musst wirst vais allons vas dois mereces debes",
+    FRAME: "i'll we'll you'll voy vamos",
+    BOOST: "such total complete utter absolute piece bunch of so absolut total völlig stück tas espèce de tan pedazo",
     NEGATION: "not no never isn't aren't don't wasn't without nicht kein keine nie pas jamais sans nunca sin",
     REPORT: "said says say told called calls claimed claims wrote sagte sagt nannte dit disait dijo llamó",
 }
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»]")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+MARKS = {'"': QUOTE, "“": OPEN, "«": OPEN, "„": OPEN, "”": CLOSE, "»": CLOSE, ":": COLON}
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„:]|[.!?;\n]+")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 STEMS = (4, 5, 6, 7)
+#: Symbols between the machines: threats, and what is negated or reported.
+THREAT, NEGATED, REPORTED = 17, 18, 19
 #: What the composed machine writes.
-PLAIN, AIMED, NEGATED, REPORTED, MENACE, MENACE_AIMED = range(1, 7)
-FEATURES = ["best", "second", "plain", "aimed", "negated", "reported", "menace", "menace_aimed"]
-DEFAULT = np.array([-4.0, 4.0, 1.0, 1.0, 1.5, -1.0, -1.0, 1.0, 1.5])
-
-
-@dataclass
-class Transducer:
-    """Deterministic: step(state, symbol) gives the next state and the written symbol; state 0 begins."""
-
-    states: int
-    symbols: int
-    step: Callable[[int, int], tuple[int, int]]
-    table: list[list[tuple[int, int]]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.table = [[self.step(q, s) for s in range(self.symbols)] for q in range(self.states)]
-
-    def then(self, other: Transducer) -> Transducer:
-        """The composition: other reads what this writes."""
-
-        def step(q: int, s: int) -> tuple[int, int]:
-            a, b = divmod(q, other.states)
-            a, w = self.table[a][s]
-            b, w = other.table[b][w]
-            return a * other.states + b, w
-
-        return Transducer(self.states * other.states, self.symbols, step)
-
-
-#: Symbols between the machines: classes, then insults and threats that are negated or reported.
-N_INSULT, R_INSULT = 7, 8
-
-
-def negation() -> Transducer:
-    """A negation reaches the three words behind it."""
-    return Transducer(4, 9, lambda q, s: (3, s) if s == NEGATION else (max(q - 1, 0), N_INSULT if q and s in (INSULT, THREAT) else s))
-
-
-def reporting() -> Transducer:
-    """From a verb of report to the end of the clause; between two quotation marks too."""
-
-    def step(q: int, s: int) -> tuple[int, int]:
-        if s == REPORT:
-            return 1, s
-        if s == QUOTE:
-            return (0 if q == 2 else 2), s
-        return q, R_INSULT if q and s in (INSULT, THREAT) else s
-
-    return Transducer(3, 9, step)
-
-
-def aiming() -> Transducer:
-    """A target up to six words before makes an insult or threat an aimed one; writes the outcome."""
-
-    def step(q: int, s: int) -> tuple[int, int]:
-        out = {INSULT: AIMED if q else PLAIN, THREAT: MENACE_AIMED if q else MENACE, N_INSULT: NEGATED, R_INSULT: REPORTED}.get(s, 0)
-        return (6 if s == TARGET else max(q - 1, 0)), out
-
-    return Transducer(7, 9, step)
+PLAIN, AIMED, DENIED, QUOTED, MENACE, MENACE_AIMED = range(1, 7)
+FEATURES = ["best", "second", "rest", "plain", "aimed", "negated", "reported", "menace", "menace_aimed"]
+#: The model's weights before any label is seen, the constant first.
+DEFAULT = np.array([-4.0, 4.0, 2.0, 1.0, 1.0, 1.5, -0.5, -0.5, 3.0, 4.0])
+
+Step = Callable[[int, int], tuple[int, int, float]]
+
+
+def insult(q: int, s: int) -> tuple[int, int, float]:
+    """State 1: something strengthening before; 2: an insult."""
+    if s == INSULT:
+        return 2, s, (1.0, 1.2, 1.1)[q]
+    return (1 if s == BOOST else 0), s, 1.0
+
+
+def threat(q: int, s: int) -> tuple[int, int, float]:
+    """States 1 to 4: a subject, so many words ago; 5 to 8: you; 9 to 12: a frame; 13 to 16: you and a modal."""
+    if s == END:
+        return 0, s, 1.0
+    if s in (HARM, DIE) and (q > 12 or q > 8 and s == HARM):
+        return 0, THREAT, 1.2
+    if s in (SELF, TARGET) and not q > 8:
+        return 4, s, 1.0
+    if s == YOU and not q > 8:
+        return 8, s, 1.0
+    if s == FRAME:
+        return 12, s, 1.0
+    if s == MODAL and q:
+        return (16 if 4 < q <= 8 or q > 12 else 12), s, 1.0
+    return (q - 1 if q % 4 != 1 and q else 0), OTHER if s in (HARM, DIE) else s, 1.0
+
+
+def negation(q: int, s: int) -> tuple[int, int, float]:
+    """States: how many words more a negation reaches."""
+    if s == NEGATION:
+        return 3, s, 1.0
+    if s in (INSULT, THREAT) and q:
+        return q - 1, NEGATED, 0.2
+    return (0 if s == END else max(q - 1, 0)), s, 1.0
+
+
+def reporting(q: int, s: int) -> tuple[int, int, float]:
+    """Bit 0: behind a verb of report in its sentence; bit 1: between quotation marks."""
+    if s in (QUOTE, OPEN, CLOSE):
+        return (q ^ 2 if s == QUOTE else q | 2 if s == OPEN else q & 1), s, 1.0
+    if s == END:
+        return q & 2, s, 1.0
+    if s == REPORT:
+        return q | 1, s, 1.0
+    return q, REPORTED if q and s in (INSULT, THREAT, NEGATED) else s, 0.3 if q and s in (INSULT, THREAT) else 1.0
+
+
+def aiming(q: int, s: int) -> tuple[int, int, float]:
+    """How far a target reaches yet (0 to 6), and a threat that waits for one (0 to 3); writes the outcome."""
+    near, open_ = divmod(q, 4)
+    if s == END:
+        return 0, 0, 1.0
+    target = s in (TARGET, YOU)
+    then = 6 if target else max(near - 1, 0)
+    out, w = {INSULT: (AIMED, 1.3) if near else (PLAIN, 1.0), THREAT: (MENACE_AIMED, 1.3) if near else (MENACE, 1.0), NEGATED: (DENIED, 1.0), REPORTED: (QUOTED, 1.0)}.get(s, (0, 1.0))
+    if target and open_:
+        return then * 4, MENACE_AIMED, 0.3
+    return then * 4 + (3 if out == MENACE else max(open_ - 1, 0)), out, w
+
+
+class Machine:
+    """The composition of weighted transducers, each reading what the one before wrote; arcs are made when first taken."""
+
+    def __init__(self, *steps: Step) -> None:
+        self.steps = steps
+        self.states: dict[tuple[int, ...], int] = {(0,) * len(steps): 0}
+        self.names = [(0,) * len(steps)]
+        self.arcs: dict[tuple[int, int], tuple[int, int, float]] = {}
+
+    def step(self, q: int, s: int) -> tuple[int, int, float]:
+        arc = self.arcs.get((q, s))
+        if arc is None:
+            then, w, out = [], 1.0, s
+            for one, state in zip(self.steps, self.names[q], strict=True):
+                to, out, by = one(state, out)
+                then.append(to)
+                w *= by
+            k = self.states.setdefault(tuple(then), len(self.names))
+            if k == len(self.names):
+                self.names.append(tuple(then))
+            arc = self.arcs[q, s] = k, out, w
+        return arc
 
 
 class Grammar:
@@ -110,17 +157,17 @@ class Grammar:
 
     def __init__(self, stems: dict[str, float]) -> None:
         self.stems = stems
-        self.machine = negation().then(reporting()).then(aiming()).table
-        self.classes = {w: (k, 1.0) for k, ws in LISTS.items() for w in ws.split()} | {q: (QUOTE, 0.0) for q in '"“”«»'}
+        self.machine = Machine(insult, threat, negation, reporting, aiming)
+        self.classes = {w: (k, 1.0) for k, ws in LISTS.items() for w in ws.split()} | {m: (k, 0.0) for m, k in MARKS.items()}
         self.seen: dict[str, tuple[int, float]] = {}
 
     def of(self, word: str) -> tuple[int, float]:
-        """A lower-case word's class and weight."""
+        """A lower-case word's or mark's class and weight."""
         hit = self.seen.get(word)
         if hit is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            hit = self.classes.get(word, (OTHER, 0.0))
+            hit = (END, 0.0) if word[0] in ".!?;\n" else self.classes.get(word.replace("’", "'"), (OTHER, 0.0))
             if hit[0] in (OTHER, INSULT):
                 weight = max([self.stems.get(word + "$", 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if len(word) >= k)])
                 if weight or hit[0]:
@@ -128,25 +175,36 @@ class Grammar:
             self.seen[word] = hit
         return hit
 
+    def clauses(self, low: str) -> list[tuple[dict[str, float], list[int]]]:
+        """Of each clause with a match: the heaviest path of each matched word, and what was written."""
+        q, found, wrote = 0, {}, []
+        out = []
+        for w in [*TOKEN.findall(low), "."]:
+            k, weight = self.of(w)
+            q, what, by = self.machine.step(q, k)
+            if what:
+                wrote.append(what)
+                found[w] = max(found.get(w, 0.0), by * (weight or 1.0))
+            if k == END:
+                if wrote:
+                    out.append((found, wrote))
+                    found, wrote = {}, []
+                if "\n" in w:  # a paragraph ends what was left open
+                    q = 0
+        return out
+
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
         low = text.lower()
-        if not any(self.of(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(low))):
+        if not any(self.of(w)[0] in (INSULT, HARM, DIE) for w in set(WORD.findall(low))):
             return out
-        best: list[float] = []
-        for clause in CLAUSE.split(low):
-            q, direct = 0, {}
-            for w in WORD.findall(clause):
-                k, weight = self.of(w)
-                q, wrote = self.machine[q][k]
-                if wrote:
-                    out[1 + wrote] += 1
-                    if wrote in (PLAIN, AIMED):
-                        direct[w] = weight
-            best += direct.values()
-        best.sort(reverse=True)
-        out[0], out[1] = (best + [0.0, 0.0])[:2]
-        out[2:] = np.log1p(out[2:])
+        parts = self.clauses(low)
+        weights = [*sorted((min(2.0, sum(found.values())) for found, _ in parts), reverse=True), 0.0, 0.0]
+        out[0], out[1], out[2] = weights[0], weights[1], np.log1p(sum(weights[1:]))
+        for _, wrote in parts:
+            for what in wrote:
+                out[2 + what] += 1
+        out[3:] = np.log1p(out[3:])
         return out
 
 
@@ -163,6 +221,12 @@ def sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str)
     return df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").select("text", "toxic")
 
 
+def stems_of(text: str) -> set[str]:
+    """The words of a text, with $ behind, and the stems that they begin with."""
+    words = set(WORD.findall(text.lower()))
+    return {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}
+
+
 def learn_stems(rows: DataFrame) -> dict[str, float]:
     """Words (with $) and stems that toxic documents of (text, toxic) have and others hardly; weights from 0 to 1.
 
@@ -173,8 +237,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
         for b in (part for whole in batches for part in slices(whole, pc.binary_length(whole.column(0)).fill_null(0).to_numpy(zero_copy_only=False), 1 << 20)):
             got: Counter = Counter()  # of a MB of text, so that it stays small
             for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall((t or "").lower()))
-                got.update((f, x) for f in {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k})
+                got.update((f, x) for f in stems_of(t or ""))
             keys = list(got)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([got[k] for k in keys], pa.int64())], names=["f", "toxic", "n"])
 
@@ -187,15 +250,15 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic weights, the first for the constant, by Newton's steps."""
+    """Logistic weights, the first for the constant, by Newton's steps; ridge pulls them toward DEFAULT."""
     x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+    w, keep = DEFAULT.copy(), np.full(x.shape[1], ridge)
     keep[0] = 1e-6
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
-        w -= step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9), x.T @ (p - y) + keep * (w - DEFAULT))
+        step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -219,7 +282,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(df: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str = "text") -> DataFrame:
-    """df with toxic_score double (0 to 1) and clauses array<int>: counts of what the grammar matched, as in FEATURES[2:]."""
+    """df with toxic_score double (0 to 1) and clauses array<int>: counts of what the grammar matched, as in FEATURES[3:]."""
     stems, w = model
 
     def make():
@@ -228,7 +291,7 @@ def score(df: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str =
         def fn(texts: list[str]) -> list[pa.Array]:
             x = np.array([g.features(t) for t in texts]).reshape(len(texts), len(FEATURES))
             s = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
-            return [pa.array(s), pa.array(np.rint(np.expm1(x[:, 2:])).astype(np.int32).tolist(), pa.list_(pa.int32()))]
+            return [pa.array(s), pa.array(np.rint(np.expm1(x[:, 3:])).astype(np.int32).tolist(), pa.list_(pa.int32()))]
 
         return fn
 

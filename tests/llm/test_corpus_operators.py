@@ -347,10 +347,39 @@ def test_toxicity_on_held_out_rows(spark, empty):
 
 def test_grammar_tells_clauses_apart():
     g = toxicity.Grammar({})
-    kind = lambda t: [toxicity.FEATURES[2 + i] for i in np.nonzero(g.features(t)[2:])[0]]
+    kind = lambda t: [toxicity.FEATURES[3 + i] for i in np.nonzero(g.features(t)[3:])[0]]
     assert kind("such trash") == ["plain"] and kind("you are trash") == ["aimed"] and kind("this is not trash") == ["negated"]
-    assert kind("she said it is trash") == ["reported"] and kind('"trash" is a word') == ["reported"] and kind("I will kill you") == ["menace"]
+    assert kind("she said it is trash") == ["reported"] and kind('"trash" is a word') == ["reported"] and kind("I will kill you") == ["menace", "menace_aimed"]
     assert kind("you will die") == ["menace_aimed"] and kind("nothing here") == []
+    assert kind("he said: you are trash") == ["reported"] and kind('she wrote "you are a clown. you are scum" again') == ["reported"]
+    assert kind("they kill weeds") == [] and kind("du sollst die Tür schließen") == [] and kind("ich will die Suppe") == [] and kind("you die") == []
+    assert kind("ich werde dich töten") == ["menace_aimed"] and kind("je vais te tuer") == ["menace_aimed"] and kind("te voy a matar") == ["menace_aimed"] and kind("I'll shoot her") == ["menace", "menace_aimed"]
+    assert kind("I will never hurt you") == ["negated"] and kind("he said he will kill you") == ["reported"]
+    best = lambda t: g.features(t)[0]
+    assert best("you total idiot") > best("you idiot") > best("idiot") > best("he said idiot") > best("not an idiot") > 0
+    assert best("pathetic loser") > best("loser") and best("a loser. a clown") == best("loser")
+
+
+def test_grammar_beats_words_alone():
+    """Planted clauses in prose: the same words, so words alone can't tell them apart."""
+    r = random.Random(11)
+    g, words = toxicity.Grammar({}), {w for k in (toxicity.INSULT, toxicity.HARM, toxicity.DIE) for w in toxicity.LISTS[k].split()}
+    bad = ["you are an idiot", "what a pathetic loser", "I will kill you", "you should die", "we'll burn your house", "du bist ein idiot", "ich werde dich umbringen", "vous êtes stupide"]
+    good = ["you are not an idiot", "never a loser", "he said you are an idiot", 'she wrote "you clown. you scum" there', "they burn wood and kill weeds", "die Tür und die Wand", "I will never hurt you", "sie sagt: ihr seid dumm"]
+    right = {True: [], False: []}
+    for i in range(400):
+        label = i % 2 == 0
+        t = prose(20, r) + ". " + r.choice(bad if label else good) + ". " + prose(20, r)
+        x = toxicity.DEFAULT[0] + g.features(t) @ toxicity.DEFAULT[1:]
+        right[True].append((1 / (1 + np.exp(-x)) >= 0.7) == label)
+        right[False].append(bool(words & set(toxicity.WORD.findall(t.lower()))) == label)
+    assert np.mean(right[True]) >= 0.95 > 0.6 >= np.mean(right[False])
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, LONG + ". you idiot. " + LONG, 5.0, "c"), (2, LONG, 1.0, None)], "doc_id long, text string, Toxic_Score double, clauses string")
+    got = {r["doc_id"]: r for r in toxicity.score(df, ({}, toxicity.DEFAULT)).collect()}
+    assert got[1]["toxic_score"] > got[2]["toxic_score"] and got[1]["clauses"] == [0, 1, 0, 0, 0, 0] and sum(got[2]["clauses"]) == 0
 
 
 def test_token_counts_follow_edits(docs, empty):
