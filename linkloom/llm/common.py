@@ -188,6 +188,13 @@ def in_blocks(df: DataFrame, key: list[str], member: Column, most: int) -> DataF
     )
 
 
+def looked_up(df: DataFrame, table: DataFrame, key: str, member: str, salts: int = 16) -> DataFrame:
+    """df joined with a table of one row a key; a key's rows go to `salts` tasks by hash of member, as one may hold a third of them."""
+    dealt = df.withColumn("dealt__", F.pmod(F.xxhash64(member), F.lit(salts)).cast("int"))
+    copies = table.withColumn("dealt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "dealt__"]).drop("dealt__")
+
+
 def roots_of(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
     """parent after the links a-b are joined: parent[i] is the smallest index of i's component."""
     parent = np.arange(n) if parent is None else parent
