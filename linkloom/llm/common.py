@@ -88,6 +88,14 @@ def drop_cut(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer if df has a column of it in any case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes; a single longer row is a piece of its own."""
     total, start = np.cumsum(sizes), 0
@@ -119,8 +127,8 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]
     kept = [f.name for f in df.schema if f.name.lower() not in new]
     schema = T.StructType([df.schema[n] for n in kept] + fields)
     extra = text.lower() in new
-    src = df.select(*[df[f"`{n}`"] for n in kept], df[f"`{text}`"].alias("__text")) if extra else df.select(*[df[f"`{n}`"] for n in kept])
-    at = len(kept) if extra else kept.index(text)
+    src = df.select(*[df[f"`{n}`"] for n in kept], df[f"`{text}`"].alias(unused(df, "text_"))) if extra else df.select(*[df[f"`{n}`"] for n in kept])
+    at = len(kept) if extra else next(i for i, n in enumerate(kept) if n.lower() == text.lower())
     names = kept + [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

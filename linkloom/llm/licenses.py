@@ -8,7 +8,9 @@ of a template's bigrams can't match it; one regular expression of those words fo
 first.
 
 Defined cases: null and empty texts, and segments of fewer than two words, match nothing (0 segments, null licence,
-null score); equal segments of a document count once; ties between templates go to the first; texts are whole.
+null score); equal segments of a document count once; ties between templates go to the first; texts are whole, of any length;
+repeated rows give repeated rows; input columns named like the new ones are replaced, all others stay whatever their
+names; an empty table gives an empty table.
 
 scan() sees a line or paragraph only as a whole. runs() compares every run of consecutive words of the text, so it also
 finds notices inside a line of prose and headers whose lines begin with comment marks. A best run begins and ends with
@@ -24,6 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import unused
+
 #: Notices and short texts of public licences, by identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -117,9 +121,9 @@ def scan(df: DataFrame, text: str = "text", least: float = 0.8, templates: tuple
     hits = F.when(F.lower(F.col(text)).rlike(trigger), F.filter(F.transform(fitting, best), lambda b: b.isNotNull()))
     names = {"n_segments", "license", "dice"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    found = df.withColumn("__hits", hits)
-    top = F.array_max("__hits")
-    return found.select(*kept, F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_segments"), top["license"].alias("license"), top["dice"].alias("dice"))
+    name = unused(df, "hits")
+    found, top = df.withColumn(name, hits), F.array_max(name)
+    return found.select(*kept, F.coalesce(F.size(name), F.lit(0)).cast("long").alias("n_segments"), top["license"].alias("license"), top["dice"].alias("dice"))
 
 
 def telling_pairs(words: list[str], least: float) -> set[tuple[str, str]]:
@@ -185,10 +189,11 @@ def runs(df: DataFrame, text: str = "text", least: float = 0.8, templates: tuple
     of_each = let(let(ws, hits_of), lambda h: F.array(*[best(k, h) for k in range(len(templates))]))
     names = {"n_licenses", "license", "dice"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    found = df.withColumn("__hits", F.when(F.lower(F.col(text)).rlike(trigger), F.filter(of_each, lambda b: b.isNotNull())))
-    top = F.array_max("__hits")
-    n = F.size(F.array_distinct(F.transform("__hits", lambda b: b["license"])))
-    return found.select(*kept, F.when(F.col("__hits").isNull(), 0).otherwise(n).cast("long").alias("n_licenses"), top["license"].alias("license"), top["dice"].alias("dice"))
+    name = unused(df, "hits")
+    found = df.withColumn(name, F.when(F.lower(F.col(text)).rlike(trigger), F.filter(of_each, lambda b: b.isNotNull())))
+    top = F.array_max(name)
+    n = F.size(F.array_distinct(F.transform(name, lambda b: b["license"])))
+    return found.select(*kept, F.when(F.col(name).isNull(), 0).otherwise(n).cast("long").alias("n_licenses"), top["license"].alias("license"), top["dice"].alias("dice"))
 
 
 def runs_oracle(least: float = 0.8) -> str:

@@ -9,8 +9,13 @@ Reading: each page's checksum is verified, packets are reassembled from lacing v
 apart by serial number with their page numbers in sequence, and times come from granule positions. Every frame is held
 against its checksum packet.
 
-Defined cases: null and empty texts are a payload of 576 bytes 255; a file with a wrong checksum, a lost page or a lost
-frame raises ValueError; equal texts give equal files.
+A page's granule position is the end of its last packet; the ends of those before follow from the frame's length, which
+the sound stream's header gives.
+
+Defined cases: null and empty texts are a payload of 576 bytes 255; equal texts give equal files; texts are whole, of any
+length; repeated rows give repeated rows; input columns named like the new ones are replaced; an empty table gives an
+empty table. read() and payload_of() raise ValueError for a file that is empty or cut off, or has a wrong checksum, a
+lost page or a lost frame; from_media() gives nulls and the error's text for such a file, and nulls for a null.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import add_columns
+from linkloom.llm.common import add_columns, slices, small_batches
 
 FRAME = 576
 RATE = 8000
@@ -92,10 +100,14 @@ def write(payload: bytes) -> bytes:
 
 
 def read(data: bytes) -> dict[int, tuple[list[bytes], list[float]]]:
-    """Packets and their end times in seconds (by granule position; of the page they end on), by stream."""
+    """Packets and their end times in seconds, by stream."""
     streams: dict[int, dict] = {}
     at = 0
+    if not data:
+        raise ValueError("an empty file")
     while at < len(data):
+        if len(data) < at + 27:
+            raise ValueError("a page's header is cut off")
         magic, version, flags, granule, serial, number, crc, count = struct.unpack_from("<4sBBqIIIB", data, at)
         if magic != b"OggS" or version:
             raise ValueError("no page where one should begin")
@@ -104,7 +116,7 @@ def read(data: bytes) -> dict[int, tuple[list[bytes], list[float]]]:
         end = begin + sum(lacing)
         if page_checksum(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != crc or end > len(data):
             raise ValueError(f"wrong checksum on page {number} of stream {serial}")
-        s = streams.setdefault(serial, {"next": 0, "open": [], "packets": [], "times": [], "rate": RATE, "done": False})
+        s = streams.setdefault(serial, {"next": 0, "open": [], "packets": [], "ends": [], "done": False})
         if number != s["next"] or bool(flags & 1) != bool(s["open"]) or bool(flags & 2) != (number == 0) or s["done"]:
             raise ValueError(f"stream {serial} isn't in sequence at page {number}")
         s["next"] += 1
@@ -117,16 +129,19 @@ def read(data: bytes) -> dict[int, tuple[list[bytes], list[float]]]:
                 s["open"], p, size, ended = [], p + size, 0, ended + 1
         if size:
             s["open"].append(data[p : p + size])
-        s["times"] += [granule / s["rate"]] * ended
+        s["ends"] += [(granule, ended - 1 - i) for i in range(ended)]
         at = end
     if any(s["open"] or not s["done"] for s in streams.values()):
         raise ValueError("a stream has no end")
-    return {k: (s["packets"], s["times"]) for k, s in streams.items()}
+    rate, frame = next((struct.unpack_from("<II", s["packets"][0], 9) for s in streams.values() if s["packets"] and s["packets"][0].startswith(b"\x80rawpcm8") and len(s["packets"][0]) >= 17), (RATE, FRAME))
+    return {k: (s["packets"], [max(0, granule - frame * later) / (rate or RATE) for granule, later in s["ends"]]) for k, s in streams.items()}
 
 
 def payload_of(data: bytes) -> tuple[bytes, float]:
     """The payload read back and its length in seconds; every frame is held against its checksum packet."""
     streams = read(data)
+    if any(not streams.get(k, ([], []))[0] for k in (SOUND, CHECK)):
+        raise ValueError("a stream is lost")
     (head, *frames), times = streams[SOUND]
     (_, *checks), _ = streams[CHECK]
     if len(frames) != len(checks) or any(struct.pack("<I", zlib.crc32(f)) != c for f, c in zip(frames, checks, strict=True)):
@@ -164,6 +179,32 @@ def to_media(df: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(df, text, lambda: store, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())])
 
 
+def from_media(df: DataFrame, media: str = "media") -> DataFrame:
+    """df with payload binary, times array<double> (each frame's end in seconds), feature string and error string of its Ogg files."""
+    new = [T.StructField("payload", T.BinaryType()), T.StructField("times", T.ArrayType(T.DoubleType())), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())]
+    taken = {f.name for f in new}
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    at = next(i for i, c in enumerate(kept.columns) if c.lower() == media.lower())
+    names = [*kept.columns, *(f.name for f in new)]
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None, None
+        try:
+            payload, seconds = payload_of(data)
+            return payload, read(data)[SOUND][1][1:], features(payload, seconds), None
+        except ValueError as e:
+            return None, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False)):
+                got = list(zip(*map(one, part.column(at).to_pylist()), strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(got, (pa.binary(), pa.list_(pa.float64()), pa.string(), pa.string()), strict=True))], names=names)
+
+    return small_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
+
+
 def digests(df: DataFrame, text: str = "text") -> DataFrame:
     """As to_media, but the file and payload only as sizes and digests, so that no bytes leave the task."""
 

@@ -3,11 +3,13 @@
 Each document has a size in words and a 60-bit hash of its id and text. A source's target is met by whole copies of
 the source, and for the rest by the documents whose hash is under the source's threshold. Thresholds are found by
 histograms: words by source and hash bucket (partial sums), the last bucket boundary within the budget, and then only
-the boundary bucket again in finer buckets, until buckets hold single hashes at any likely size. Nothing is sorted but
-a source's buckets, of which there are a fixed number, and one row a source.
+the rows of the boundary buckets again in finer buckets, until each holds a single hash. Nothing is sorted but a
+source's buckets, of which there are a fixed number, and one row a source.
 
 Defined cases: null texts have size 0; the null source comes last; sources without words have target 0; repeated rows
-share a hash and are taken together; an empty table gives an empty table. Reruns agree: nothing is random.
+share a hash and are taken together; texts are whole; columns beside id, text and source aren't returned by mix, and
+mixed returns all of its input's, whatever their names; an empty table gives an empty table. Reruns agree: nothing is
+random.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, unused
 
 #: Bits of the hash, and of each level of the histograms.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -30,7 +32,7 @@ def words(text: Column) -> Column:
 
 def hash_of(doc_id: Column, text: Column) -> Column:
     """60 bits of MD5 as a number, from the id and the text; null differs from every value."""
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit("null")))
+    key = F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit("null")))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -59,10 +61,10 @@ def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
     """
     state = aims.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     state = state.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("below", F.lit(0).cast("long"))
+    rows = sized
     for level in range(HASH_BITS // LEVEL_BITS):
         width = 1 << (HASH_BITS - (level + 1) * LEVEL_BITS)
-        here = sized.alias("d").join(state.select("source", "below").alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        here = here.filter((F.col("hash") >= F.col("below")) & (F.col("hash") < F.col("below") + F.lit(width << LEVEL_BITS)))
+        here = rows.alias("d").join(state.select("source", "below").alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         bins = here.groupBy(F.col("d.source").alias("source"), F.floor((F.col("hash") - F.col("below")) / F.lit(width)).cast("long").alias("bucket")).agg(F.sum("size").alias("words"))
         up = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))).alias("b")
         over = up.join(state.select("source", "rest").alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
@@ -72,6 +74,11 @@ def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
         rest = F.when(F.col("at").isNull(), F.col("rest")).otherwise(F.col("rest") - F.col("at.before"))
         below = F.col("below") + F.coalesce(F.col("at.bucket"), F.lit(0)) * F.lit(width)
         state = cut(state.select("s.source", "source_size", "target", "copies", rest.alias("rest"), below.alias("below")))
+        there = rows.alias("d").join(state.select("source", "below").alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        there = there.filter((F.col("hash") >= F.col("below")) & (F.col("hash") < F.col("below") + F.lit(width))).select("d.source", "size", "hash")
+        rows = cut(there)  # the boundary buckets
+        if rows.groupBy("source").agg((F.min("hash") < F.max("hash")).alias("several")).filter("several").isEmpty():
+            break
     return state.select("source", "source_size", "target", "copies", "below")
 
 
@@ -86,10 +93,11 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
     """The rows of df as often as the mix takes them (by default up to twice)."""
-    base = df.withColumns({"__size": words(F.col(text)), "__hash": hash_of(F.col(doc_id), F.col(text))})
-    sized = cut(base.select(F.col(source).alias("source"), F.col("__size").alias("size"), F.col("__hash").alias("hash")))
+    named = {n: unused(df, n) for n in ("hash", "from", "copies", "below", "nth")}
+    base = df.withColumn(named["hash"], hash_of(F.col(doc_id), F.col(text)))
+    sized = cut(base.select(F.col(source).alias("source"), words(F.col(text)).alias("size"), F.col(named["hash"]).alias("hash")))
     aims = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), kw.get("share", 1.5), kw.get("most", 2.0), kw.get("weights", WEIGHTS)))
-    plan = thresholds(sized, aims).select(F.col("source").alias("__source"), "copies", "below")
-    times = F.col("copies") + (F.col("__hash") < F.col("below")).cast("long")
-    rows = base.join(plan, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__n", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>"))))
+    plan = thresholds(sized, aims).select(F.col("source").alias(named["from"]), F.col("copies").alias(named["copies"]), F.col("below").alias(named["below"]))
+    times = F.col(named["copies"]) + (F.col(named["hash"]) < F.col(named["below"])).cast("long")
+    rows = base.join(plan, F.col(source).eqNullSafe(F.col(named["from"]))).withColumn(named["nth"], F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>"))))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns])

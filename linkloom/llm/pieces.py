@@ -7,7 +7,8 @@ compacted, until no pair remains. Merging many places at once equals one at a ti
 ranks no later than the merged one; units where that happens are encoded by a queue instead.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; texts of any length are whole; repeated
-rows give repeated rows; other columns stay, but for ones named like the new columns, which are replaced.
+rows give repeated rows; other columns stay, but for ones named like the new columns, which are replaced; an empty table gives an empty
+table. A model that normalises texts is refused with ValueError.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_proto=model)
+        plain = "\ufb01 \u2460  \uff21\t\u00ad x "  # what any of the usual normal forms changes
+        if m.decode(m.encode(plain)) != plain:
+            raise ValueError("the model normalises texts")
         n = m.get_piece_size()
         self.byte_id = np.zeros(256, np.int64)
         self.id_of: dict[str, int] = {}

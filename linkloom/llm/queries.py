@@ -94,7 +94,7 @@ ORACLES = {
     "op10_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-                ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h
+                ('0x' || substr(md5(coalesce('=' || doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h
             FROM documents),
         s AS (
             SELECT source, sum(size)::BIGINT AS source_size,

@@ -1,15 +1,15 @@
 """Secret scans: three stated patterns, and a token-efficiency test that finds random strings beside them.
 
-A run of token characters is random-looking if a byte-level vocabulary needs many tokens for it: few characters a token.
-Runs are taken from whole texts; each distinct run is encoded once. Left out before the test are runs that are known
-digests (hexadecimal of the lengths of MD5, SHA-1, SHA-2, a UUID), decimal numbers, and identifiers: words joined by
-_, -, . or /, camel case, without a part that mixes letters and digits. An identifier's letters are tested by
-themselves: each part of LONG letters or more, and its parts of SHORT letters or more together. Only parts of fewer
-than SHORT letters, and fewer than 20 letters of short parts together, go untested. What the patterns found stays in
-any case; a random run that touches one of those spans is not reported again.
-
-Defined cases: null and empty texts have no spans; texts are whole; repeated rows give repeated rows; input columns
-named like the new ones are replaced.
+A run of token characters is random-looking if a byte-level vocabulary needs many tokens for it: under `most_ratio`
+characters a token, over the whole run or over a part of it between separators. Runs of `least` characters or more (16
+by default) are taken from whole texts; each distinct run is encoded once. Left out are runs that are known digests
+(hexadecimal of the lengths of MD5, SHA-1, SHA-2, a UUID), those without letters (numbers, dates, addresses), and
+identifiers: runs whose letters are for the most part words of the vocabulary, three letters or more each, as _, -, ., /
+and capitals divide them, and paths of single letters. What the patterns found stays in any case; a random run that
+touches one of those spans is not reported again.
+
+Defined cases: null and empty texts have no spans; texts are whole, of any length; repeated rows give repeated rows;
+input columns named like the new ones are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,12 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "random")
-RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
-#: Parts of an identifier: words of letters (camel case too) with or without a short number behind, or numbers.
-IDENTIFIER = re.compile(r"[A-Za-z]*\d{0,4}|\d+")
-LETTERS = re.compile(r"[A-Za-z]+")
-#: Letters from which a part of an identifier is tested alone, and from which it counts among the short ones.
-LONG, SHORT = 12, 4
+#: The parts that capitals divide a run's letters in.
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+SEPARATORS = re.compile(r"[_./=+-]+")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -51,17 +48,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def identifier(run: str) -> bool:
-    """Whether a run has the form of a number or an identifier."""
-    return all(IDENTIFIER.fullmatch(p) for p in re.split(r"[_./=+-]+", run) if p)
-
-
 class Scanner:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_ratio: float) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_ratio: float, least: int = 16) -> None:
         import tiktoken
 
         self.count = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.most_ratio = most_ratio
+        self.ranks, self.most_ratio, self.least = ranks, most_ratio, least
+        self.run = re.compile(rf"[A-Za-z0-9+/_=.-]{{{least},}}")
         self.seen: dict[str, bool] = {}
 
     def random(self, run: str) -> bool:
@@ -69,26 +62,31 @@ class Scanner:
         if hit is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            hit = self.seen[run] = not DIGEST.fullmatch(run) and (self.odd_letters(run) if identifier(run) else self.dense([run]))
+            parts = {run, *SEPARATORS.split(run)}
+            hit = self.seen[run] = not DIGEST.fullmatch(run) and any(len(p) >= self.least and self.dense(p) and not self.identifier(p) for p in parts)
         return hit
 
-    def dense(self, parts: list[str]) -> bool:
-        """Whether the parts, each encoded alone, have too few characters a token."""
-        return sum(map(len, parts)) < self.most_ratio * sum(len(self.count(p)) for p in parts)
+    def dense(self, run: str) -> bool:
+        """Whether a run has too few characters a token."""
+        return len(run) < self.most_ratio * len(self.count(run))
+
+    def word(self, part: str) -> bool:
+        low = part.lower()
+        return any(w.encode() in self.ranks for x in (part, low, low.capitalize()) for w in (x, " " + x))
 
-    def odd_letters(self, run: str) -> bool:
-        """Whether an identifier has a long part, or enough short ones together, that no words make up."""
-        parts = [p for p in LETTERS.findall(run) if len(p) >= SHORT]
-        short = [p for p in parts if len(p) < LONG]
-        return any(len(p) >= LONG and self.dense([p]) for p in parts) or (sum(map(len, short)) >= 20 and self.dense(short))
+    def identifier(self, run: str) -> bool:
+        """Whether a run has no letters, or words of the vocabulary make up most of them, or single letters do."""
+        parts = PART.findall(run)
+        words = sum(len(p) for p in parts if len(p) >= 3 and self.word(p))
+        return not parts or words >= 0.6 * sum(map(len, parts)) or 3 * sum(map(len, SEPARATORS.findall(run))) > len(run)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         out = base_spans(text)
         more = []
-        for m in RUN.finditer(text):
+        for m in self.run.finditer(text):
             run = m[0].strip(".-/=")
             a = m.start() + m[0].index(run) if run else 0
-            if len(run) >= 20 and self.random(run) and not any(s < a + len(run) and a < e for s, _, e in out):
+            if len(run) >= self.least and self.random(run) and not any(s < a + len(run) and a < e for s, _, e in out):
                 more.append((a, 3, a + len(run)))
         return sorted(out + more)
 
@@ -101,17 +99,17 @@ def ranks_of(vocabulary_path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def scan(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", most_ratio: float = 2.2) -> DataFrame:
+def scan(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", most_ratio: float = 2.0, least: int = 16) -> DataFrame:
     """df with spans array<struct<kind, start, end>> in code points, by start, then kind as in KINDS.
 
-    most_ratio: a run with fewer characters a token is random. The vocabulary file, of a fixed size of 1 MB, is read on
+    most_ratio: a run with fewer characters a token is random; least: characters of the shortest runs that are tested. The vocabulary file, of a fixed size of 1 MB, is read on
     the driver and sent with the tasks.
     """
     with open(vocabulary_path, "rb") as f:
         raw = f.read()
 
     def make() -> Callable[[list[str]], list[pa.Array]]:
-        return Scanner({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern, most_ratio)
+        return Scanner({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern, most_ratio, least)
 
     return add_columns(df, text, make, [T.StructField("spans", SPAN)])
 

@@ -12,7 +12,9 @@ planes against themselves shifted by d give the differing bits of all pairs (i,
 A group gives a spanning set of links, never all pairs.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any other; rows with a null id get the
-component of their fingerprint; repeated rows give repeated rows; an empty table gives an empty table.
+component of their fingerprint; repeated rows give repeated rows; columns beside id and text aren't returned by
+near_duplicates, and one_of_each returns all of its input's, whatever their names; texts are whole, of any length; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import add_columns, components, cut, group_starts, in_blocks, roots_of, whole_groups
+from linkloom.llm.common import add_columns, components, cut, group_starts, in_blocks, looked_up, roots_of, unused, whole_groups
 
 #: Rows of a group that are compared in one task at most, in each of two blocks.
 BLOCK = 4096
@@ -207,13 +209,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     roots = components(links)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id", "root")
+    of = looked_up(member, least, "root", "fp").select("fp", "component_id", "root")
     return marked.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def one_of_each(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of df with the smallest id of each component that near_duplicates found; null ids come last."""
     last = (1 << 63) - 1
-    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("__d"), F.col("text_hash").alias("__k"))).alias("b")).select("b.__d", "b.__k")
-    keyed = df.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(last)), "__k": F.xxhash64(F.col(text))})
-    return keyed.join(best, ["__d", "__k"]).dropDuplicates(["__d", "__k"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    d, k = unused(df, "d"), unused(df, "k")
+    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias(d), F.col("text_hash").alias(k))).alias("b")).select(f"b.{d}", f"b.{k}")
+    keyed = df.withColumns({d: F.coalesce(F.col(doc_id).cast("long"), F.lit(last)), k: F.xxhash64(F.col(text))})
+    return keyed.join(best, [d, k]).dropDuplicates([d, k]).select(*[F.col(f"`{c}`") for c in df.columns])
