@@ -30,6 +30,12 @@ def sections(df: DataFrame, json: str) -> DataFrame:
     return out.withColumns({c: F.col(f"__r.{c}") for c in new} | {"ai_ms": F.col("__r.ai_record.latency_ms"), "stages": stages, "stage_ms": last}).drop("__r", json)
 
 
+def selected(df: DataFrame, min_score: float | None = None, ai_involved: bool | None = None) -> DataFrame:
+    """The sections of records that meet the filters that are given; a null score meets none."""
+    out = df if min_score is None else df.filter(F.col("final_score") >= min_score)
+    return out if ai_involved is None else out.filter(F.coalesce("ai_involved", F.lit(False)) == ai_involved)
+
+
 def stage_rows(df: DataFrame, json: str) -> DataFrame:
     """A row per stage of each record: match_id, nth, its fields, completed_at and involves_ai; records without stages give none."""
     flat = df.select(F.from_json(json, RECORD).alias("r")).select("r.match_id", F.posexplode("r.pipeline_stages").alias("nth", "s"))

@@ -59,11 +59,27 @@ def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.struct(z.alias("z"), (2 * (1 - normal_cdf(F.abs(z)))).alias("p"))
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, recent: int = 10) -> DataFrame:
-    """df with recent and before: means of the last `recent` values and of as many before those; and drop: a fall of over 20 %."""
+def feedback_summary(df: DataFrame, factors: list[str], confirmed: Column) -> DataFrame:
+    """factor_stats with (total, confirmed, rejected, rate) of all feedback and the difference of a factor's means, rounded."""
+    n, yes = F.count("*"), F.count_if(confirmed)
+    total = df.agg(n.alias("total"), yes.alias("confirmed"), F.count_if(~confirmed).alias("rejected"), F.round(F.when(n == 0, 0.0).otherwise(yes / n), 6).alias("rate"))
+    r = lambda c: F.round(c, 6)
+    rows = factor_stats(df, factors, confirmed).crossJoin(total)  # one row
+    return rows.select("factor", "total", "confirmed", "rejected", "rate", r("avg_confirmed").alias("avg_confirmed"), r("avg_rejected").alias("avg_rejected"), r(F.col("avg_confirmed") - F.col("avg_rejected")).alias("difference"))
+
+
+def rate_alerts(df: DataFrame, keys: list[str], at: str, hit: Column, seconds: int = 86400, least: int = 10, most: float = 0.1) -> DataFrame:
+    """df with alert: over `most` hits among `least` rows or more of the last so many seconds."""
+    w = Window.partitionBy(*keys).orderBy(F.unix_timestamp(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
+    n, hits = F.count("*").over(w), F.count(F.when(hit, 1)).over(w)
+    return df.withColumn("alert", (n >= least) & (hits / n > most))
+
+
+def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, recent: int = 10, least: int | None = None) -> DataFrame:
+    """df with recent and before: means of the last `recent` values and of as many before those; and drop: a fall of over 20 %, from `least` rows on (2 * recent)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumns({"recent": F.avg(value).over(w.rowsBetween(1 - recent, 0)), "before": F.avg(value).over(w.rowsBetween(1 - 2 * recent, -recent)), "__n": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return out.withColumn("drop", F.coalesce((F.col("__n") >= 2 * recent) & (F.col("before") > 0) & ((F.col("before") - F.col("recent")) / F.col("before") > 0.2), F.lit(False))).drop("__n")
+    return out.withColumn("drop", F.coalesce((F.col("__n") >= (least or 2 * recent)) & (F.col("before") > 0) & ((F.col("before") - F.col("recent")) / F.col("before") > 0.2), F.lit(False))).drop("__n")
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataFrame:

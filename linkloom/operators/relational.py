@@ -19,6 +19,18 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def sort_by(column: str, direction: str, allowed: list[str], tie: str) -> list[Column]:
+    """A requested order, nulls first where it falls; anything but the allowed columns and asc or desc is refused."""
+    if column not in allowed or direction not in ("asc", "desc"):
+        raise ValueError(f"{column} {direction}")
+    return [F.desc_nulls_first(column) if direction == "desc" else F.asc_nulls_last(column), F.asc(tie)]
+
+
+def most_recent(df: DataFrame, at: str, tie: str, n: int) -> DataFrame:
+    """The n newest rows: what a ring buffer of that size holds of an append-only log."""
+    return df.orderBy(F.desc(at), F.desc(tie)).limit(n)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)

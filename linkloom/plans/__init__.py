@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from linkloom.plans import adapting, auditing, ingest, linking, reports
+from linkloom.plans import adapting, auditing, dashboards, ingest, linking, reports
 from linkloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "adapting", "auditing", "ingest", "linking", "reports"]
+__all__ = ["ORACLES", "QUERIES", "adapting", "auditing", "dashboards", "ingest", "linking", "reports"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def range_profile(t):
     return Q.range_profile(t.lineitem.withColumn("l_discount", F.col("l_discount") + 0.0), "l_discount", 0.02, 0.08)
 
 
-@query("SELECT 'orders' AS table_name, date_diff('day', max(o_orderdate)::DATE, DATE '1998-12-01') AS age_days FROM orders UNION ALL SELECT 'lineitem', date_diff('day', max(l_shipdate)::DATE, DATE '1998-12-01') FROM lineitem")
+@query("SELECT 'orders' AS table_name, date_diff('day', max(o_orderdate)::DATE, DATE '1998-12-01') AS age_days FROM orders UNION ALL SELECT 'lineitem', date_diff('day', max(l_shipdate)::DATE, DATE '1998-12-01') FROM lineitem UNION ALL SELECT 'events', date_diff('day', max(ts)::DATE, DATE '1998-12-01') FROM events")
 def freshness(t):
-    return Q.freshness(t.orders, "o_orderdate", "orders", NOW).unionByName(Q.freshness(t.lineitem, "l_shipdate", "lineitem", NOW))
+    return Q.freshness(t.orders, "o_orderdate", "orders", NOW).unionByName(Q.freshness(t.lineitem, "l_shipdate", "lineitem", NOW)).unionByName(Q.freshness(t.events, "ts", "events", NOW))
 
 
 @query("SELECT 'lines without order' AS rule, count(*) AS refs, count(*) FILTER (o.k IS NULL) AS orphans, round(100.0 * count(*) FILTER (o.k IS NULL) / count(*), 2) AS orphan_pct FROM lineitem LEFT JOIN (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P') o ON o.k = l_orderkey UNION ALL SELECT 'orders without customer', count(*), count(*) FILTER (c.c_custkey IS NULL), round(100.0 * count(*) FILTER (c.c_custkey IS NULL) / count(*), 2) FROM orders LEFT JOIN customer c ON c_custkey = o_custkey")
@@ -114,6 +116,10 @@ def exists_self_dup(t):
     UNION ALL SELECT 'name not empty', 'medium', count(*) FILTER (p_name IS NULL OR p_name = '') FROM part
     UNION ALL SELECT 'order has lines', 'medium', (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))
     UNION ALL SELECT 'status known', 'low', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders
+    UNION ALL SELECT 'discount in range', 'high', count(*) FILTER (l_discount < 0 OR l_discount > 0.09) FROM lineitem
+    UNION ALL SELECT 'line has part', 'high', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 49))
+    UNION ALL SELECT 'date not ahead', 'medium', count(*) FILTER (o_orderdate > TIMESTAMP '1998-10-01') FROM orders
+    UNION ALL SELECT 'customer has nation', 'medium', (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4))
     UNION ALL SELECT 'balances positive', 'low', (SELECT count(*) FROM customer WHERE c_acctbal < 0) + (SELECT count(*) FROM supplier WHERE s_acctbal < 0))""")
 def business_rules(t):
     count = lambda df, cond: df.agg(F.count_if(cond))
@@ -125,14 +131,21 @@ def business_rules(t):
         ("name not empty", "medium", count(t.part, F.col("p_name").isNull() | (F.col("p_name") == ""))),
         ("order has lines", "medium", lost),
         ("status known", "low", count(t.orders, ~F.col("o_orderstatus").isin("F", "O"))),
+        ("discount in range", "high", count(t.lineitem, (F.col("l_discount") < 0) | (F.col("l_discount") > 0.09))),
+        ("line has part", "high", t.lineitem.join(t.part.filter("p_size < 49").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").agg(F.count("*"))),
+        ("date not ahead", "medium", count(t.orders, F.col("o_orderdate") > F.lit("1998-10-01").cast("timestamp_ntz"))),
+        ("customer has nation", "medium", t.customer.join(t.nation.filter("n_regionkey < 4").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_anti").agg(F.count("*"))),
         ("balances positive", "low", poor),
     ])
 
 
-@query("SELECT 'part name and brand' AS check_name, count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM (SELECT count(*) AS n FROM part GROUP BY p_name, p_brand HAVING count(*) > 1) UNION ALL SELECT 'orders of a day', count(*), coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate::DATE HAVING count(*) > 1)")
+@query("SELECT 'part name and brand' AS check_name, count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM (SELECT count(*) AS n FROM part GROUP BY p_name, p_brand HAVING count(*) > 1) UNION ALL SELECT 'orders of a day', count(*), coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate::DATE HAVING count(*) > 1)" + "".join(f" UNION ALL SELECT '{n}', count(*), coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM {k} HAVING count(*) > 1)" for n, k in (("events of a minute", "events GROUP BY user_id, event_type, date_trunc('minute', ts)"), ("parts of an order", "lineitem GROUP BY l_orderkey, l_partkey"), ("texts", "documents GROUP BY text"), ("customer names", "customer GROUP BY c_name"))))
 def duplicate_checks(t):
     days = t.orders.withColumn("day", F.to_date("o_orderdate"))
-    return Q.duplicate_groups(t.part, ["p_name", "p_brand"], "part name and brand").unionByName(Q.duplicate_groups(days, ["o_custkey", "day"], "orders of a day"))
+    minutes = t.events.withColumn("minute", F.date_trunc("minute", F.col("ts").cast("timestamp")))
+    texts = t.documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+    checks = [(t.part, ["p_name", "p_brand"], "part name and brand"), (days, ["o_custkey", "day"], "orders of a day"), (minutes, ["user_id", "event_type", "minute"], "events of a minute"), (t.lineitem, ["l_orderkey", "l_partkey"], "parts of an order"), (texts, ["text"], "texts"), (t.customer, ["c_name"], "customer names")]
+    return reduce(DataFrame.unionByName, [Q.duplicate_groups(*c) for c in checks])
 
 
 @query("SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, lower(event_type) FROM events)) AS duplicates, (SELECT count(*) FROM (SELECT DISTINCT user_id, lower(event_type) FROM events)) AS pairs FROM events")
@@ -249,9 +262,7 @@ def latency_stats(t):
 
 @query("SELECT event_type, list_sort(list(value))[1 + round((count(*) - 1) * 0.95)::INT] AS p95 FROM events GROUP BY 1")
 def percentile_rank_variant(t):
-    w = Window.partitionBy("event_type")
-    ranked = t.events.withColumns({"r": F.row_number().over(w.orderBy("value")), "n": F.count("*").over(w)})
-    return ranked.filter(F.col("r") == 1 + F.round((F.col("n") - 1) * 0.95)).select("event_type", F.col("value").alias("p95"))
+    return Q.ranked_values(t.events, ["event_type"], "value", {"p95": 0.95})
 
 
 @query("SELECT event_type, p95, threshold FROM (SELECT event_type, quantile_disc(value * 10, 0.95) AS p95, CASE event_type WHEN 'click' THEN 50 WHEN 'view' THEN 100000 ELSE 100 END AS threshold FROM events GROUP BY 1) WHERE p95 > threshold")
