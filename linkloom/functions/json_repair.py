@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,3 +214,40 @@ def patched(text: str, ops: list[tuple[str, int, int, str]]) -> str:
     for kind, a, b, new in sorted(ops, key=lambda o: -o[1]):
         raw = raw[:a] + (b"" if kind == "delete" else new.encode()) + raw[a if kind == "insert" else b :]
     return raw.decode(errors="replace")
+
+
+def schema_scores(required: list[str], types: dict[str, str]) -> Callable[[Column], Column]:
+    """schema_score over a column; text that isn't JSON scores 0."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(schema_score(t, required, types))
+            except ValueError:
+                out.append(0.0)
+        return pd.Series(out, dtype="float64")
+
+    return score
+
+
+def op(kind: str, start: int, end: int, new: Column | str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(start).alias("start"), F.lit(end).alias("end"), (F.lit(new) if isinstance(new, str) else new).alias("new"))
+
+
+@F.pandas_udf(T.StringType())
+def patched_text(texts: pd.Series, ops: pd.Series) -> pd.Series:
+    """patched over columns: the operations of a text as an array of op(); null texts stay null."""
+    return pd.Series([None if t is None else patched(t, [(o["kind"], o["start"], o["end"], o["new"]) for o in todo]) for t, todo in zip(texts, ops, strict=True)])
+
+
+def items_text(json: Column) -> Column:
+    """A JSON array of named quantities as text."""
+    items = F.from_json(json, "array<struct<name:string,quantity:string>>")
+    return F.array_join(F.transform(items, lambda x: F.concat(x["name"], F.lit(" x "), x["quantity"])), "; ")
+
+
+def root_items(df: DataFrame, text: str) -> DataFrame:
+    """df without the text, with a row (nth, item) for each element of its root array as JSON text, so that work on a large array is dealt out."""
+    return df.select(*[c for c in df.columns if c != text], F.posexplode(F.from_json(text, "array<string>")).alias("nth", "item"))

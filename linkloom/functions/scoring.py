@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
 
 #: Milligrams in a unit, dosage forms by their name here, and what a pair of forms costs.
+FRACTIONS = {"واحد ونص": 1.5, "واحد ونصف": 1.5, "نص": 0.5, "نصف": 0.5, "ربع": 0.25, "تلت": 0.33, "ثلث": 0.33, "اتنين": 2.0, "اثنين": 2.0, "تلاتة": 3.0, "ثلاثة": 3.0}
 UNITS = {"mg": 1.0, "ملغ": 1.0, "ملجم": 1.0, "mcg": 0.001, "μg": 0.001, "ug": 0.001, "ميكروغرام": 0.001, "مايكروجرام": 0.001, "g": 1000.0, "ج": 1000.0, "جرام": 1000.0, "غرام": 1000.0, "ml": 1.0, "مل": 1.0, "iu": 1.0, "ui": 1.0, "وحدة": 1.0}
 FORMS = {
     "امبول": "امبول أمبول ampoule amp",
@@ -90,12 +93,14 @@ def parse_action(confidence: Column) -> Column:
 
 
 def concentration(c: Column) -> Column:
-    """struct(value, unit, mg): the first number, the first unit behind a digit or blank, and both in milligrams."""
+    """struct(value, unit, mg): the first number, the first unit behind a digit or blank, and both in milligrams; a text that is a number word has its value and no unit."""
+    word = F.element_at(X.mapping(FRACTIONS), F.lower(F.trim(c)))
     flat = F.lower(X.western_digits(F.trim(c)))
     value = F.regexp_extract(flat, r"(\d+\.?\d*)", 1)
     unit = F.regexp_extract(flat, "(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")", 1)
     number = F.when(value != "", value.cast("double"))
-    return F.when(number.isNotNull(), F.struct(number.alias("value"), F.nullif(unit, F.lit("")).alias("unit"), (number * F.coalesce(F.element_at(X.mapping(UNITS), unit), F.lit(1.0))).alias("mg")))
+    named = F.struct(word.alias("value"), F.lit(None).cast("string").alias("unit"), word.alias("mg"))
+    return F.when(word.isNotNull(), named).when(number.isNotNull(), F.struct(number.alias("value"), F.nullif(unit, F.lit("")).alias("unit"), (number * F.coalesce(F.element_at(X.mapping(UNITS), unit), F.lit(1.0))).alias("mg")))
 
 
 def percent_difference(a: Column, b: Column) -> Column:
@@ -136,3 +141,60 @@ def normal_cdf(z: Column) -> Column:
 
 def backoff_seconds(attempt: Column, base: int = 30) -> Column:
     return (base * F.pow(F.lit(2.0), attempt)).cast("long")
+
+
+def half_life(category: Column, lives: dict[str, float], default: float = 72.0) -> Column:
+    """Hours after which recency halves, by category; 1 at least."""
+    return F.greatest(F.lit(1.0), F.coalesce(F.element_at(X.mapping(lives), category), F.lit(default)))
+
+
+def normalized_weights(weights: list[Column]) -> list[Column]:
+    """Weights that sum to 1; equal ones where all are 0."""
+    total = sum(weights[1:], weights[0])
+    return [F.when(total == 0, 1.0 / len(weights)).otherwise(w / total) for w in weights]
+
+
+def weights_valid(weights: list[Column], tolerance: float = 0.01) -> Column:
+    """Whether weights are from 0 to 1 and sum to 1 within the tolerance."""
+    total = sum(weights[1:], weights[0])
+    inside = weights[0].between(0, 1)
+    for w in weights[1:]:
+        inside &= w.between(0, 1)
+    return inside & (F.abs(total - 1.0) <= tolerance)
+
+
+def breakdown(parts: dict[str, tuple[Column, Column]]) -> Column:
+    """array of struct(name, score, weight, share) of each part's score and weight."""
+    return F.array(*[F.struct(F.lit(k).alias("name"), s.alias("score"), w.alias("weight"), (s * w).alias("share")) for k, (s, w) in parts.items()])
+
+
+def retry_at(attempt: Column, at: Column, base: int = 30, most: int = 3) -> Column:
+    """When a failed attempt is tried again, null once `most` have failed."""
+    return F.when(attempt < most, F.timestamp_seconds(F.unix_timestamp(at.cast("timestamp")) + backoff_seconds(attempt, base)))
+
+
+#: How much an urgency counts.
+URGENCY = {"Low": 1, "Medium": 3, "High": 5, "Urgent": 8, "Critical": 10}
+
+
+def priority(level: Column) -> Column:
+    return F.coalesce(F.element_at(X.mapping(URGENCY), level), F.lit(1))
+
+
+def fulfilment(offered: Column, requested: Column) -> Column:
+    """How much of a quantity is offered: nothing under half of it, all from the whole on."""
+    ratio = offered / requested
+    return F.when(ratio < 0.5, 0.0).when(ratio > 1, 1.0).otherwise(ratio)
+
+
+def percent_text(score: Column, label: str) -> Column:
+    return F.format_string(f"{label}:%.0f%%", score * 100)
+
+
+def in_schedule(minutes: Column, schedule: str) -> Column:
+    """Whether a minute of the day lies in HH:MM-HH:MM, the start included and the end not, over midnight too; always, if that can't be read."""
+    m = re.fullmatch(r"\s*(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})\s*", schedule)
+    if not m or max(int(m[1]), int(m[3])) > 23 or max(int(m[2]), int(m[4])) > 59:
+        return F.lit(True)
+    a, b = int(m[1]) * 60 + int(m[2]), int(m[3]) * 60 + int(m[4])
+    return (minutes >= a) & (minutes < b) if a <= b else (minutes >= a) | (minutes < b)

@@ -99,6 +99,19 @@ def medication_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when(X.contains_arabic(x) | X.contains_arabic(y), F.greatest(0.5 * arabic + 0.3 * jw + 0.2 * grams, arabic, jw)).otherwise(standard)
 
 
+def weighted_similarity(a: Column, b: Column, weights: tuple[float, float, float]) -> Column:
+    """Jaro-Winkler, bigrams and sound (for Arabic: its own similarity) by stated weights over their sum."""
+    x, y = X.normalize_for_matching(a), X.normalize_for_matching(b)
+    sound = F.when(X.contains_arabic(x) | X.contains_arabic(y), arabic_similarity(x, y)).otherwise(phonetic_similarity(x, y))
+    parts = (jaro_winkler(x, y), ngram_similarity(x, y), sound)
+    total = sum(weights)
+    return sum((w * p for w, p in zip(weights[1:], parts[1:], strict=True)), weights[0] * parts[0]) / total if total else F.lit(0.0)
+
+
+def arabic_phonetic_similarity(a: Column, b: Column) -> Column:
+    return jaro_winkler(X.normalize_for_phonetic_matching(a), X.normalize_for_phonetic_matching(b))
+
+
 def with_raw(parsed: Column, raw: Column) -> Column:
     """A similarity of parsed names held down by that of the raw ones."""
     return F.when(raw < 0.3, raw * 0.5).when(raw < 0.5, F.least(F.sqrt(parsed * raw), raw + 0.1)).otherwise(0.4 * parsed + 0.6 * raw)
@@ -129,6 +142,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_distance(a: Column, b: Column) -> Column:
+    return 1 - cosine(a, b)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null for vectors of different or no length, 0 where one is zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -114,6 +114,36 @@ def is_group_chat(c: Column) -> Column:
     return c.endswith("@g.us")
 
 
+#: What may stand behind the @ of an address.
+SERVERS = ("s.whatsapp.net", "g.us", "lid")
+
+
+def valid_chat(c: Column) -> Column:
+    """Whether an address has one @, something before it and a known server behind it."""
+    parts = F.split(c, "@")
+    return F.coalesce((F.size(parts) == 2) & (parts[0] != "") & parts[1].isin(*SERVERS), F.lit(False))
+
+
+def phone_of(c: Column) -> Column:
+    """What stands before the first @, the empty text without any."""
+    return F.when(F.instr(c, "@") > 1, F.substring_index(c, "@", 1)).otherwise("")
+
+
+def masked(c: Column, shown: int = 4) -> Column:
+    """All but the last characters starred."""
+    hidden = F.greatest(F.length(c) - shown, F.lit(0))
+    return F.concat(F.repeat(F.lit("*"), hidden), F.substring(c, hidden + 1, F.length(c)))
+
+
+def short_id(c: Column) -> Column:
+    return F.substring(c, 1, 8)
+
+
+def search_kind(c: Column) -> Column:
+    """participant for what holds an @ or only digits, +, blanks and -, else text."""
+    return F.when(c.contains("@") | c.rlike(r"^[0-9+ -]+$"), "participant").otherwise("text")
+
+
 def split_issues(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions.text import normalize_for_matching
+from linkloom.operators.folds import folded
 from linkloom.operators.relational import top_k
 
 
@@ -59,20 +59,15 @@ def adaptive_thresholds(df: DataFrame, keys: list[str], order: list[str], score:
     per = df.withColumn("window", F.floor(nth / window).cast("long")).groupBy(*keys, "window")
     counts = per.agg(F.count("*").alias("total"), F.array(*[F.count_if(F.col(score) >= v) for v in levels]).alias("over"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window")
-        at, used, accepted, then = levels.index(round(start, 9)), [], [], []
-        for over, total in zip(pdf["over"], pdf["total"], strict=True):
-            used.append(levels[at])
-            accepted.append(int(over[at]))
-            if total >= window:
-                rate = over[at] / total
-                at = lower[at] if rate < target - tolerance else higher[at] if rate > target + tolerance else at
-            then.append(levels[at])
-        return pdf.assign(threshold=used, accepted=accepted, next=then)[[*keys, "window", "threshold", "accepted", "total", "next"]]
+    def step(at: int, over: list[int], total: int) -> tuple[int, tuple[float, int, float]]:
+        used, rate = at, over[at] / total
+        if total >= window:
+            at = lower[at] if rate < target - tolerance else higher[at] if rate > target + tolerance else at
+        return at, (levels[used], over[used], levels[at])
 
-    fields = [T.StructField(n, t()) for n, t in (("window", T.LongType), ("threshold", T.DoubleType), ("accepted", T.LongType), ("total", T.LongType), ("next", T.DoubleType))]
-    return counts.groupBy(*keys).applyInPandas(fold, T.StructType([*[df.schema[k] for k in keys], *fields]))
+    fields = [T.StructField("threshold", T.DoubleType()), T.StructField("accepted", T.LongType()), T.StructField("next", T.DoubleType())]
+    out = folded(counts, keys, ["window"], ["over", "total"], fields, lambda: levels.index(round(start, 9)), step)
+    return out.select(*keys, "window", "threshold", "accepted", "total", "next")
 
 
 def uniform(*parts: Column) -> Column:
@@ -161,17 +156,15 @@ def circuit_states(df: DataFrame, keys: list[str], order: list[str], at: str, ok
     reset_seconds after the last failure one call is let through, which closes or opens it again. at: seconds.
     """
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, bad, last, allowed, states = "closed", 0, 0.0, [], []
-        for t, good in zip(pdf[at], pdf[ok], strict=True):
-            if state == "open" and t - last > reset_seconds:
-                state = "half_open"
-            allowed.append(state != "open")
-            if state != "open":
-                bad, last = (0, last) if good else (bad + 1, t)
-                state = "closed" if good else "open" if state == "half_open" or bad >= failures else state
-            states.append(state)
-        return pdf.assign(allowed=allowed, state=states)
-
-    return df.groupBy(*keys).applyInPandas(replay, T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("state", T.StringType())]))
+    def step(now: tuple[str, int, float], t: float, good: bool) -> tuple[tuple[str, int, float], tuple[bool, str]]:
+        state, bad, last = now
+        if state == "open" and t - last > reset_seconds:
+            state = "half_open"
+        allowed = state != "open"
+        if allowed:
+            bad, last = (0, last) if good else (bad + 1, t)
+            state = "closed" if good else "open" if state == "half_open" or bad >= failures else state
+        return (state, bad, last), (allowed, state)
+
+    new = [T.StructField("allowed", T.BooleanType()), T.StructField("state", T.StringType())]
+    return folded(df, keys, order, [at, ok], new, lambda: ("closed", 0, 0.0), step)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions.scoring import normal_cdf
+from linkloom.operators.folds import folded
 
 
 def bins(df: DataFrame, score: Column, positive: Column, n: int = 10) -> DataFrame:
@@ -37,18 +37,35 @@ def factor_stats(df: DataFrame, factors: list[str], confirmed: Column) -> DataFr
     return rows.withColumn("correlation", F.when(most == 0, 0.0).otherwise((F.col("avg_confirmed") - F.col("avg_rejected")) / most))
 
 
-def new_weights(stats: DataFrame, weights: DataFrame, rate: float = 0.1, least: float = 0.02, low: float = 0.05, high: float = 0.7) -> DataFrame:
-    """(factor, weight, new_weight): w (1 + rate * correlation), small steps ignored, clamped, and made to sum to 1."""
-    j = weights.join(stats.select("factor", "correlation"), "factor", "left").withColumn("moved", F.col("weight") * (1 + rate * F.coalesce("correlation", F.lit(0.0))))
+def new_weights(stats: DataFrame, weights: DataFrame, rate: float = 0.1, least: float = 0.02, low: float = 0.05, high: float = 0.7, n: Column | None = None, least_n: int = 100) -> DataFrame:
+    """(factor, weight, new_weight): w (1 + rate * correlation), small steps ignored, clamped, and made to sum to 1.
+
+    n: how much feedback there is, a column of stats; under least_n weights stay.
+    """
+    known = F.lit(True) if n is None else n >= least_n
+    j = weights.join(stats.select("factor", F.when(known, F.col("correlation")).otherwise(0.0).alias("correlation")), "factor", "left").withColumn("moved", F.col("weight") * (1 + rate * F.coalesce("correlation", F.lit(0.0))))
     j = j.withColumn("held", F.least(F.lit(high), F.greatest(F.lit(low), F.when(F.abs(F.col("moved") - F.col("weight")) < least, F.col("weight")).otherwise(F.col("moved")))))
     return j.select("factor", "weight", F.round(F.col("held") / F.sum("held").over(Window.partitionBy()), 6).alias("new_weight"))
 
 
 def affinity(df: DataFrame, keys: list[str], at: str, tie: str, ok: Column, up: float = 0.1, down: float = 0.15) -> DataFrame:
-    """(keys, n, confirmed, affinity): from 0.5, +up to at most 1 or -down to at least 0, in order of time. A key's outcomes are folded as one array."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), ok.alias("ok"))))
-    fold = F.aggregate("seq", F.lit(0.5), lambda a, x: F.when(x["ok"], F.least(F.lit(1.0), a + up)).otherwise(F.greatest(F.lit(0.0), a - down)))
-    return df.groupBy(*keys).agg(seq.alias("seq"), F.count("*").alias("n"), F.count_if(ok).alias("confirmed")).withColumn("affinity", fold).drop("seq")
+    """(keys, n, confirmed, affinity): from 0.5, +up to at most 1 or -down to at least 0, in order of time.
+
+    A row of steps is one function x -> min(high, max(low, x + shift)), and such functions compose. Steps are composed
+    within a key's days first and then over its days, so that a key with very many outcomes is dealt to many tasks.
+    """
+    part = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), ok.alias("ok"))
+    days = df.withColumn("day__", F.col(at).cast("date") if dict(df.dtypes)[at].startswith(("timestamp", "date")) else F.lit(0)).groupBy(*keys, "day__").agg(F.array_sort(F.collect_list(part)).alias("seq"), F.count("*").alias("n"), F.count_if(ok).alias("confirmed"))
+    start = F.struct(F.lit(0.0).alias("shift"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def step(f: Column, x: Column) -> Column:
+        rise = lambda c: F.least(F.lit(1.0), f[c] + up)
+        fall = lambda c: F.greatest(F.lit(0.0), f[c] - down)
+        return F.struct(F.when(x["ok"], f["shift"] + up).otherwise(f["shift"] - down).alias("shift"), F.when(x["ok"], rise("low")).otherwise(fall("low")).alias("low"), F.when(x["ok"], rise("high")).otherwise(fall("high")).alias("high"))
+
+    whole = days.withColumn("f", F.aggregate("seq", start, step)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day__", "f"))).alias("fs"), F.sum("n").alias("n"), F.sum("confirmed").alias("confirmed"))
+    value = F.aggregate("fs", F.lit(0.5), lambda x, d: F.least(d["f"]["high"], F.greatest(d["f"]["low"], x + d["f"]["shift"])))
+    return whole.withColumn("affinity", value).drop("fs")
 
 
 def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
@@ -91,24 +108,17 @@ def runs(df: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataF
 
 
 def outliers(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 100, least: int = 20, z: float = 2.5) -> DataFrame:
-    """df with outlier: by mean and population deviation of the last accepted values of its key; outliers don't enter. Needs the order of a key, so a key is one group."""
-
-    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        held: list[float] = []
-        out = []
-        for v in pdf[value]:
-            odd = False
-            if len(held) >= least:
-                mean = sum(held) / len(held)
-                dev = (sum((x - mean) ** 2 for x in held) / len(held)) ** 0.5
-                odd = dev > 0 and abs(v - mean) / dev > z
-            if not odd:
-                held = (held + [v])[-window:]
-            out.append(odd)
-        return pdf.assign(outlier=out)
-
-    return df.groupBy(*keys).applyInPandas(flag, T.StructType([*df.schema.fields, T.StructField("outlier", T.BooleanType())]))
+    """df with outlier: by mean and population deviation of the last accepted values of its key; outliers don't enter, nor do nulls, which are none."""
+
+    def step(held: list[float], v: float | None) -> tuple[list[float], tuple[bool]]:
+        odd = False
+        if v is not None and len(held) >= least:
+            mean = sum(held) / len(held)
+            dev = (sum((x - mean) ** 2 for x in held) / len(held)) ** 0.5
+            odd = dev > 0 and abs(v - mean) / dev > z
+        return (held if odd or v is None else (held + [v])[-window:]), (odd,)
+
+    return folded(df, keys, order, [value], [T.StructField("outlier", T.BooleanType())], list, step)
 
 
 def vote(approved: Column, rejected: Column, flagged: Column, least: float = 0.67) -> Column:
@@ -121,15 +131,58 @@ def vote(approved: Column, rejected: Column, flagged: Column, least: float = 0.6
 def token_batches(df: DataFrame, keys: list[str], order: list[str], tokens: str, budget: int = 3000, most: int = 10) -> DataFrame:
     """df with batch: greedy batches in order, up to `budget` tokens and `most` rows; a row over the budget is alone."""
 
-    def deal(batches: pd.DataFrame) -> pd.DataFrame:
-        pdf = batches.sort_values(order, kind="stable")
-        out, k, used, n = [], 0, 0, 0
-        for t in pdf[tokens]:
-            if n and (used + t > budget or n >= most):
-                k, used, n = k + 1, 0, 0
-            out.append(k)
-            used, n = used + t, n + 1
-        return pdf.assign(batch=out)
+    def step(state: tuple[int, int, int], t: int | None) -> tuple[tuple[int, int, int], tuple[int]]:
+        k, used, n = state
+        t = t or 0
+        if n and (used + t > budget or n >= most):
+            k, used, n = k + 1, 0, 0
+        return (k, used + t, n + 1), (k,)
+
+    return folded(df, keys, order, [tokens], [T.StructField("batch", T.LongType())], lambda: (0, 0, 0), step)
+
+
+def extremes(df: DataFrame, value: str, ties: list[str], k: int) -> DataFrame:
+    """df's k rows of the highest values and of the lowest, with side."""
+    tie = [F.asc(c) for c in ties]
+    top, low = df.orderBy(F.desc(value), *tie).limit(k), df.orderBy(F.asc(value), *tie).limit(k)
+    return top.withColumn("side", F.lit("top")).unionByName(low.withColumn("side", F.lit("bottom")))
+
+
+def affinity_stats(df: DataFrame, least: int = 5, least_confirmed: int = 3) -> DataFrame:
+    """One row on affinities (n, confirmed, affinity): pairs, confident ones, mean (0.5 without any), above 0.8 and under 0.3."""
+    a = F.col("affinity")
+    sure = (F.col("n") >= least) & ((F.col("confirmed") >= least_confirmed) | (a < 0.5))
+    return df.agg(F.count("*").alias("pairs"), F.count_if(sure).alias("confident"), F.round(F.coalesce(F.avg(a), F.lit(0.5)), 6).alias("mean"), F.count_if(a > 0.8).alias("high"), F.count_if(a < 0.3).alias("low"))
+
+
+def misjudged(df: DataFrame, score: Column, ok: Column, high: float = 0.7, low: float = 0.5) -> DataFrame:
+    """One row: confident scores that were wrong, and unsure ones that were right."""
+    return df.agg(F.count("*").alias("n"), F.count_if((score >= high) & ~ok).alias("over_confident"), F.count_if((score < low) & ok).alias("under_confident"))
+
+
+def performance(df: DataFrame, score: Column, confirmed: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n, rate, f1, avg_confirmed, avg_rejected): precision and recall are both the rate of confirmed ones, so F1 is too."""
+    side = lambda c: F.coalesce(F.avg(F.when(c, score)), F.lit(0.0))
+    rate = F.count_if(confirmed) / F.count("*")
+    return df.groupBy(*(keys or [])).agg(F.count("*").alias("n"), rate.alias("rate"), F.when(rate > 0, 2 * rate * rate / (rate + rate)).otherwise(0.0).alias("f1"), side(confirmed).alias("avg_confirmed"), side(~confirmed).alias("avg_rejected"))
+
+
+def should_apply(old: Column, new: Column, drop: float = 0.05) -> Column:
+    """New weights (structs of performance()) are applied if they tell confirmed from rejected better and the rate falls by `drop` at most."""
+    apart = lambda m: m["avg_confirmed"] - m["avg_rejected"]
+    return (apart(new) > apart(old)) & (new["rate"] >= old["rate"] - drop)
+
+
+def arm_of(user: Column, test: str, share: float = 0.5) -> Column:
+    """The arm of a user in a test, by 48 bits of a hash of both."""
+    bits = F.conv(F.substring(F.md5(F.concat(user.cast("string"), F.lit(f":{test}")).cast("binary")), 1, 12), 16, 10).cast("double")
+    return F.when(bits / float(16**12) < share, "test").otherwise("control")
 
-    return df.groupBy(*keys).applyInPandas(deal, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
 
+def test_decision(control: Column, test: Column, least: int = 100, worse: float = 1.2, better: float = 5.0, significance: float = 0.05) -> Column:
+    """Rollback, Promote or Continue, from structs (n, confirmed, rejected) of both arms."""
+    t = two_proportions(control["confirmed"], control["n"], test["confirmed"], test["n"])
+    rate = lambda a, k: F.when(a["n"] > 0, a[k] / a["n"]).otherwise(0.0)
+    more = F.when(rate(control, "rejected") > 0, rate(test, "rejected") / rate(control, "rejected"))
+    uplift = F.when(rate(control, "confirmed") > 0, (rate(test, "confirmed") / rate(control, "confirmed") - 1) * 100).otherwise(0.0)
+    return F.when(control["n"] + test["n"] < least, "Continue").when((more > worse) & (t["p"] < significance), "Rollback").when((uplift >= better) & (t["p"] < significance), "Promote").otherwise("Continue")

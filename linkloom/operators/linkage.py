@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions.scoring import band, expiry_score, match_action, priority
 from linkloom.functions.similarity import resolver_similarity
+from linkloom.functions.text import normalize_name
 from linkloom.operators.relational import top_k
 from linkloom.operators.search import trigram_matches
 
@@ -15,6 +17,64 @@ def reject_reason(age_days: Column, most_days: int, same_sender: Column, conc: C
     return F.when(age_days > most_days, "stale").when(same_sender, "same_sender").when(conc, "concentration").when(form, "form")
 
 
+def candidates(requests: DataFrame, offers: DataFrame, block: list[str], order: list[Column], most: int = 100) -> DataFrame:
+    """Pairs of requests and offers of one block: each request meets the block's first `most` active offers, so pairs grow with the requests only."""
+    return requests.join(top_k(offers, block, order, most).drop("rank"), block)
+
+
+def pruned(pairs: DataFrame, hits: DataFrame, group: str, item: str, k: int = 20) -> DataFrame:
+    """Pairs whose item is among the k best hits (group, item, score; lower is better) of its group; groups without any hit keep all their pairs."""
+    best = top_k(hits.join(pairs.select(group, item).distinct(), [group, item], "left_semi"), [group], [F.asc("score"), F.asc(item)], k).select(group, item, F.lit(True).alias("hit__"))
+    some = best.select(group).distinct().withColumn("some__", F.lit(True))
+    marked = pairs.join(best, [group, item], "left").join(some, group, "left")
+    return marked.filter(F.col("hit__") | F.col("some__").isNull()).drop("hit__", "some__")
+
+
+def stage_stats(df: DataFrame, stage: str = "stage") -> DataFrame:
+    """(stage, n, share) of what each stage decided, nulls as none; stages before the embedding one are deterministic."""
+    name = F.when(F.col(stage) == 1, "master").when(F.col(stage) == 2, "embedding").when(F.col(stage) == 3, "fuzzy").otherwise("none")
+    g = df.groupBy(name.alias("stage")).agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))  # four rows
+
+
+def new_matches(scored: DataFrame, existing: DataFrame, keys: list[str], score: str, least: float = 0.85, automatic: bool = True) -> DataFrame:
+    """(keys, score, status): pairs that score enough, are acted on and don't exist yet; confirmed where the action is automatic."""
+    band_of = band(F.col(score))
+    action = match_action(band_of, automatic)
+    found = scored.filter((F.col(score) >= least) & (band_of != "None") & (action != "Ignore")).join(existing.select(*keys).distinct(), keys, "left_anti")
+    return found.select(*keys, score, F.when(action == "AutoConfirm", "CONFIRMED").otherwise("PENDING").alias("status"))
+
+
+def full_score(parts: dict[str, Column], weights: dict[str, Column], blocked: Column, other_language: Column, days_left: Column, bonus: Column, expiry_weight: float = 0.1, gate: float = 0.7) -> Column:
+    """struct(total, band, action): the whole scorer.
+
+    A blocked pair scores 0. The medication's score is the better of both languages, and under the gate all is 0. Expired
+    offers score 0, near ones lose up to expiry_weight; a bonus of over 0.001 either way is added; the total stays from 0
+    to 1. weights: after tests and warm start, as columns.
+    """
+    name = F.greatest(parts["medication"], other_language)
+    base = sum((F.coalesce(name if k == "medication" else parts[k], F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
+    held = F.when(name < gate, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base)))
+    near = expiry_score(days_left)
+    aged = F.when(days_left < 0, 0.0).when(near < 1, F.greatest(F.lit(0.0), held - (1 - near) * expiry_weight)).otherwise(held)
+    moved = F.when(F.abs(bonus) > 0.001, F.least(F.lit(1.0), F.greatest(F.lit(0.0), aged + bonus))).otherwise(aged)
+    total = F.when(blocked, 0.0).otherwise(moved)
+    action = F.when(blocked, "Ignore").otherwise(match_action(band(total)))
+    return F.struct(total.alias("total"), F.when(blocked, "None").otherwise(band(total)).alias("band"), action.alias("action"))
+
+
+def contrast_status(enabled: bool, positive: Column, negatives: Column, least: float = 0.7) -> Column:
+    """Why a contrastive check is passed over, null where it is made."""
+    if not enabled:
+        return F.lit("disabled")
+    return F.when(positive < least, "below threshold").when(F.coalesce(negatives, F.lit(0)) == 0, "no negatives")
+
+
+def reviewed(df: DataFrame, status: str, to_approve: list[str]) -> Column:
+    """A curation's outcome: pending names in the list are approved, other pending ones stay, rejected ones too."""
+    return F.when((F.col(status) == "pending") & F.col("alias").isin(*to_approve), "approved").otherwise(F.col(status))
+
+
 def filter_stats(df: DataFrame, reason: str = "reason") -> DataFrame:
     r = F.col(reason)
     return df.agg(F.count("*").alias("total"), *[F.count_if(r == k).alias(k) for k in ("stale", "same_sender", "concentration", "form")], F.count_if(r.isNull()).alias("passed")).withColumn("pass_rate", F.round(100.0 * F.col("passed") / F.col("total"), 2))
@@ -25,11 +85,22 @@ def first_stage_wins(pairs: DataFrame, group: str, stage: str = "stage") -> Data
     return pairs.filter(F.col(stage).isNotNull()).withColumn("__first", F.min(stage).over(Window.partitionBy(group))).filter(F.col(stage) == F.col("__first")).drop("__first")
 
 
-def cascade(pairs: DataFrame, group: str, same_master: Column, embedding: Column, fuzzy: Column, k: int = 10) -> DataFrame:
+def first_priority(df: DataFrame, name: str, priorities: DataFrame, names: list[str]) -> DataFrame:
+    """df with its best valid priority, by its normalised name in any of the name columns, the first of them that matches; then the highest level, then the id."""
+    ranked = None
+    for n, c in enumerate(names):
+        one = priorities.withColumns({"k__": normalize_name(F.col(c)), "n__": F.lit(n)})
+        ranked = one if ranked is None else ranked.unionByName(one)
+    ranked = ranked.withColumn("score", priority(F.col("level")))
+    best = top_k(ranked, ["k__"], [F.asc("n__"), F.desc("score"), F.asc("p_partkey")], 1).drop("rank", "n__")
+    return df.withColumn("k__", normalize_name(F.col(name))).join(best, "k__").drop("k__")
+
+
+def cascade(pairs: DataFrame, group: str, same_master: Column, embedding: Column, fuzzy: Column, k: int = 10, tie: Column | None = None) -> DataFrame:
     """Stage and score of each pair: 1 same master (1.0); 2 embedding >= .85, fuzzy >= .7 and .4 e + .6 f >= .75, the k best by embedding; 3 fuzzy >= .75."""
     blended = 0.4 * embedding + 0.6 * fuzzy
     e = pairs.withColumns({"__e": embedding, "__f": fuzzy, "__m": same_master})
-    e = e.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last("__e"), F.desc("__f"))))
+    e = e.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last("__e"), F.desc("__f"), *([] if tie is None else [tie]))))
     stage = F.when(F.col("__m"), 1).when((F.col("__e") >= 0.85) & (F.col("__rank") <= k) & (F.col("__f") >= 0.7) & (blended >= 0.75), 2).when(F.col("__f") >= 0.75, 3)
     score = F.when(F.col("stage") == 1, 1.0).when(F.col("stage") == 2, blended).otherwise(F.col("__f"))
     return first_stage_wins(e.withColumn("stage", stage).withColumn("score", score), group).drop("__e", "__f", "__m", "__rank")

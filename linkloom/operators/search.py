@@ -18,20 +18,85 @@ def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.filter(F.split(X.normalize_content(F.col(text)), r"\s+"), lambda w: F.length(w) > 2)).alias("word"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_key, key, score, rank): the k best documents of each query. Postings are reduced to the queries' words before they are scored."""
-    words = words_of(docs, key, text)
-    post = words.groupBy("word", key).agg(F.count("*").alias("tf"))
-    size = words.groupBy(key).agg(F.count("*").alias("len"))
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, cut: float = -1.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_key, key, score, rank): the k best documents of each query. Scores are negative, lower is better, and those not under `cut` are left out.
+
+    One scan without a shuffle gives the totals, one the postings of the queries' words, with each document's length;
+    document frequencies come from these postings.
+    """
+    words = F.filter(F.split(X.normalize_content(F.col(text)), r"\s+"), lambda w: F.length(w) > 2)
+    sized = docs.select(key, words.alias("ws")).filter(F.size("ws") > 0)
+    total = sized.agg(F.count("*").alias("n_docs"), F.avg(F.size("ws")).alias("avg_len"))
     asked = words_of(queries, query_key, query_text).distinct()
-    total = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    mine = post.join(asked.select("word").distinct(), "word", "left_semi")
+    mine = sized.select(key, F.size("ws").alias("len"), F.explode("ws").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", key, "len").agg(F.count("*").alias("tf"))
     df = mine.groupBy("word").agg(F.count("*").alias("df"))
-    scored = mine.join(df, "word").join(size, key).crossJoin(F.broadcast(total))  # one row
+    scored = mine.join(df, "word").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = asked.join(scored.select("word", key, weight.alias("w")), "word").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(hits, [query_key], [F.desc("score"), F.asc(key)], k)
+    hits = asked.join(scored.select("word", key, weight.alias("w")), "word").groupBy(query_key, key).agg(F.round(-F.sum("w"), 6).alias("score"))
+    return top_k(hits.filter(F.col("score") < cut), [query_key], [F.asc("score"), F.asc(key)], k)
+
+
+def name_candidates(names: DataFrame, name: str = "p_name") -> DataFrame:
+    """(a, b), a < b: pairs of distinct names that share two letters in a row or their first letter; never all with all.
+
+    Names that share neither are Jaro-Winkler neighbours only as scrambled letters.
+    """
+    n = names.select(F.col(name).alias("n")).distinct()
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 1, F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(2)))
+    keyed = n.select("n", F.explode(F.array_distinct(F.concat(pairs, F.array(F.concat(F.lit("^"), F.substring("n", 1, 1)))))).alias("g"))
+    return keyed.select("g", F.col("n").alias("a")).join(keyed.select("g", F.col("n").alias("b")), "g").filter("a < b").select("a", "b").distinct()
+
+
+def holding(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(key, names' columns): texts that contain a name, met by the name's first three characters (all of a shorter one)."""
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t__")), lambda i: F.array(*[F.substring(F.col("t__"), i, F.lit(k)) for k in (1, 2, 3)]))))
+    keyed = texts.select(F.col(key), F.col(text).alias("t__")).filter(F.length("t__") > 0).withColumn("g__", F.explode(grams))
+    named = names.filter(F.length(name) > 0).withColumn("g__", F.substring(name, 1, 3))
+    return keyed.join(named, "g__").filter(F.col("t__").contains(F.col(name))).drop("g__", "t__")
+
+
+def dictionary_hits(texts: DataFrame, key: str, text: str, masters: DataFrame, master: str, names: list[str]) -> DataFrame:
+    """(key, master, method): of each text the masters that it names, by the first of the name columns that is found in it."""
+    out = None
+    for n, name in enumerate(names):
+        hits = holding(texts, key, text, masters.select(master, F.lower(name).alias("n__")).distinct(), "n__").select(key, master, F.struct(F.lit(n), F.lit(name).alias("method")).alias("m"))
+        out = hits if out is None else out.unionByName(hits)
+    return out.groupBy(key, master).agg(F.min("m").alias("m")).select(key, master, "m.method")
+
+
+def trigram_topk(queries: DataFrame, names: DataFrame, columns: list[str], k: int = 5, least: float = 0.3) -> DataFrame:
+    """(q, id, method, score, rank): the k best rows of names for each query by the greatest trigram similarity of the columns.
+
+    method says whether a column contains the query (like) or is only similar (trigram).
+    """
+    found = None
+    for c in columns:
+        one = trigram_matches(queries.select(F.col("q").alias("a")).distinct(), names.select(F.col(c).alias("b")).distinct(), least)
+        hits = one.join(names.select("id", F.col(c).alias("b")), "b").select(F.col("a").alias("q"), "id", F.col("similarity").alias("score"), F.lower("b").contains(F.lower("a")).alias("like"))
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy("q", "id").agg(F.max("score").alias("score"), F.max("like").alias("like"))
+    return top_k(best, ["q"], [F.desc("score"), F.asc("id")], k).select("q", "id", F.when(F.col("like"), "like").otherwise("trigram").alias("method"), "score", "rank")
+
+
+def exact_then_fuzzy(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(key, name, method): names that share a word with a text, and those that share a trigram with its longer words where no word did."""
+    words = words_of(texts, key, text).distinct()
+    named = names.select(name).distinct()
+    exact = words.join(named.select(name, F.explode(X.tokens(F.col(name))).alias("word")), "word").select(key, name).distinct()
+    grams = lambda df, c, keep: df.select(*keep, F.explode(X.trigrams(F.col(c))).alias("g")).distinct()
+    long = words.filter(F.length("word") >= 4)
+    fuzzy = grams(long, "word", [key]).join(grams(named.select(name, F.explode(X.tokens(F.col(name))).alias("w")), "w", [name]), "g").select(key, name).distinct()
+    return exact.withColumn("method", F.lit("exact")).unionByName(fuzzy.join(exact, [key, name], "left_anti").withColumn("method", F.lit("fuzzy")))
+
+
+def semantic_repeats(df: DataFrame, key: str, sender: str, second: str, vector: str, seconds: int = 600, least: float = 0.95) -> DataFrame:
+    """(key, earlier, similarity): rows of one sender and up to so many seconds before, with cosine over `least`; met by sender and time slot, not all with all."""
+    slot = F.floor(F.col(second) / seconds)
+    late = df.select(F.col(key).alias("key"), F.col(sender).alias("s"), F.col(second).alias("t"), F.col(vector).alias("v"), F.explode(F.array(slot, slot - 1)).alias("slot"))
+    early = df.select(F.col(key).alias("earlier"), F.col(sender).alias("s"), F.col(second).alias("u"), F.col(vector).alias("w"), slot.alias("slot"))
+    near = late.join(early, ["s", "slot"]).filter((F.col("u") < F.col("t")) & (F.col("u") >= F.col("t") - seconds))
+    return near.select(F.col("key").alias(key), "earlier", F.round(Y.cosine(F.col("v"), F.col("w")), 6).alias("similarity")).filter(F.col("similarity") > least)
 
 
 def trigram_matches(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -96,3 +161,12 @@ def fuse(parts: list[tuple[str, DataFrame]], key: list[str], k: int, group: str)
         out = one if out is None else out.unionByName(one)
     first = top_k(out, [group, *key], [F.asc("priority")], 1).drop("rank")
     return top_k(first, [group], [F.desc("score"), F.asc(key[0])], k).drop("priority")
+
+
+def merged(parts: list[tuple[str, DataFrame]], key: list[str]) -> DataFrame:
+    """(key, method): what several methods found, once each, under the first method that did."""
+    out = None
+    for n, (name, df) in enumerate(parts):
+        one = df.select(*key, F.struct(F.lit(n), F.lit(name).alias("method")).alias("m"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.method")

@@ -25,7 +25,10 @@ def affinity_decay(t):
     return d.select("l_orderkey", "l_linenumber", F.round("a", 6).alias("affinity"), F.round(bonus, 6).alias("bonus"))
 
 
-@query()
+@query("""SELECT event_type, unnest(o, recursive := true) FROM (SELECT event_type, list_reduce(list(v ORDER BY w), lambda a, x: {'t': CASE WHEN len(x) < 100 THEN a.t WHEN len(list_filter(x, lambda s: s >= a.t)) / 100.0 < 0.80 THEN round(greatest(0.30, a.t - 0.02), 9) WHEN len(list_filter(x, lambda s: s >= a.t)) / 100.0 > 0.90 THEN round(least(0.95, a.t + 0.02), 9) ELSE a.t END,
+        'o': list_append(a.o, {'window': len(a.o)::BIGINT, 'threshold': a.t, 'accepted': len(list_filter(x, lambda s: s >= a.t))::BIGINT, 'total': len(x)::BIGINT, 'next': CASE WHEN len(x) < 100 THEN a.t WHEN len(list_filter(x, lambda s: s >= a.t)) / 100.0 < 0.80 THEN round(greatest(0.30, a.t - 0.02), 9) WHEN len(list_filter(x, lambda s: s >= a.t)) / 100.0 > 0.90 THEN round(least(0.95, a.t + 0.02), 9) ELSE a.t END})},
+        {'t': 0.70::DOUBLE, 'o': []::STRUCT("window" BIGINT, threshold DOUBLE, accepted BIGINT, total BIGINT, "next" DOUBLE)[]}).o AS o
+    FROM (SELECT event_type, w, list(s ORDER BY r) AS v FROM (SELECT *, (r - 1) // 100 AS w FROM (SELECT event_type, value / 20 AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events)) GROUP BY 1, 2) GROUP BY 1)""")
 def adaptive_threshold(t):
     return A.adaptive_thresholds(t.events.withColumn("score", F.col("value") / 20), ["event_type"], ["ts", "event_id"], "score")
 
@@ -51,9 +54,9 @@ def ensemble_agreement(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(A.agreement([F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10]), 6).alias("agreement"))
 
 
-@query("SELECT lower(p_name) AS alias, l_suppkey AS master, count(*) AS confirmations FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 42.5 AND l_linenumber <> 2 GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("SELECT lower(p_name) AS alias, l_suppkey AS master, count(*) AS confirmations FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 42.5 GROUP BY 1, 2 HAVING count(*) >= 2")
 def alias_learning(t):
-    d = t.lineitem.filter("l_linenumber <> 2").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    d = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     side = F.col("l_linenumber") == 1
     d = d.select((F.col("l_quantity") / 50).alias("s"), F.when(side, F.col("p_name")).otherwise("known").alias("o"), F.when(side, "known").otherwise(F.col("p_name")).alias("r"), F.when(~side, F.col("l_suppkey")).alias("om"), F.when(side, F.col("l_suppkey")).alias("rm"))
     return A.learned_aliases(d, "s", "o", "r", "om", "rm")
@@ -69,7 +72,15 @@ def few_shot_examples(t):
     return A.examples_for(d, "category", ["offer", "request"], [F.desc("n"), F.asc("o_orderkey")], 7).select("o_orderkey", "category", "place")
 
 
-@query()
+_CALL = "CASE WHEN a.s = 'open' AND x.t - a.l > 30 THEN 'half_open' ELSE a.s END"
+
+
+@query(f"""SELECT unnest(ids) AS event_id, unnest(o, recursive := true) FROM (SELECT list(event_id ORDER BY t, event_id) AS ids, list_reduce(list({{'t': t, 'g': g}} ORDER BY t, event_id),
+    lambda a, x: CASE WHEN {_CALL} = 'open' THEN {{'s': 'open', 'b': a.b, 'l': a.l, 'o': list_append(a.o, {{'allowed': false, 'state': 'open'}})}}
+        WHEN x.g THEN {{'s': 'closed', 'b': 0::BIGINT, 'l': a.l, 'o': list_append(a.o, {{'allowed': true, 'state': 'closed'}})}}
+        WHEN {_CALL} = 'half_open' OR a.b + 1 >= 3 THEN {{'s': 'open', 'b': a.b + 1, 'l': x.t, 'o': list_append(a.o, {{'allowed': true, 'state': 'open'}})}}
+        ELSE {{'s': {_CALL}, 'b': a.b + 1, 'l': x.t, 'o': list_append(a.o, {{'allowed': true, 'state': {_CALL}}})}} END,
+    {{'s': 'closed', 'b': 0::BIGINT, 'l': 0.0::DOUBLE, 'o': []::STRUCT(allowed BOOLEAN, state VARCHAR)[]}}).o AS o FROM (SELECT event_type, event_id, epoch(ts) AS t, value > 5 AS g FROM events) GROUP BY event_type)""")
 def circuit_replay(t):
     d = t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("value") > 5).alias("good"))
     return A.circuit_states(d, ["event_type"], ["at", "event_id"], "at", "good").select("event_id", "allowed", "state")

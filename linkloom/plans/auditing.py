@@ -34,6 +34,13 @@ def audit_sections(t):
     return d.select("match_id", "final_score", "ai_involved", "ai_ms", F.col("stage_ms")["candidate_filter"].alias("filter_ms"))
 
 
-@query()
+_LIKE = "abs(strlen(e.t) - strlen(x.t)) < 50 AND substr(e.t, 1, least(20, length(e.t), length(x.t))) = substr(x.t, 1, least(20, length(e.t), length(x.t)))"
+_FIRST = f"list_position(list_transform(p, lambda e: {_LIKE}), true)"
+_WORST = "list_position(list_transform(p, lambda e: e.c * 1000000 + e.u), list_min(list_transform(p, lambda e: e.c * 1000000 + e.u)))"
+
+
+@query(f"""SELECT p_brand, unnest(range(1, len(p) + 1))::INT AS place, unnest(list_transform(p, lambda e: e.k)) AS p_partkey, unnest(list_transform(p, lambda e: e.t)) AS p_name, unnest(list_transform(p, lambda e: e.c)) AS confirmations, unnest(list_transform(p, lambda e: e.u)) AS usage FROM (
+    SELECT p_brand, list_reduce(list({{'k': p_partkey, 't': p_name, 'c': 1::BIGINT, 'u': 0::BIGINT}} ORDER BY p_partkey), lambda p, x: CASE WHEN {_FIRST} > 0 THEN list_transform(p, lambda e, i: CASE WHEN i = {_FIRST} THEN {{'k': e.k, 't': e.t, 'c': e.c + 1, 'u': e.u}} ELSE e END)
+        WHEN len(p) < 10 THEN list_append(p, x) ELSE list_transform(p, lambda e, i: CASE WHEN i = {_WORST} THEN x ELSE e END) END, []::STRUCT(k BIGINT, t VARCHAR, c BIGINT, u BIGINT)[]) AS p FROM part GROUP BY 1)""")
 def example_pools(t):
     return A.example_pool(t.part, "p_brand", ["p_partkey"], "p_name", F.lit(1), F.lit(0), 10)

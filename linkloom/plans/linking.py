@@ -16,6 +16,8 @@ from linkloom.plans.registry import query
 
 NOW = "1998-12-01 12:34:56"
 NAMES = "(SELECT DISTINCT p_name FROM part)"
+#: Pairs that share two letters in a row, or the first one.
+MEET = "(substr(a, 1, 1) = substr(b, 1, 1) OR list_has_any(list_transform(range(1, length(a)), lambda i: substr(a, i, 2)), list_transform(range(1, length(b)), lambda i: substr(b, i, 2))))"
 PAIRS = f"(SELECT a.p_name AS a, b.p_name AS b FROM {NAMES} a JOIN {NAMES} b ON a.p_name < b.p_name)"
 
 
@@ -23,12 +25,6 @@ def names(t):
     return t.part.select("p_name").distinct()
 
 
-def name_pairs(t):
-    """All pairs of the distinct part names: a dictionary of fixed size (64)."""
-    n = names(t)
-    return n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-
-
 # recency, expiry, bands
 
 
@@ -119,23 +115,28 @@ def fts_exact_query(t):
     return t.benchmark.select("item_id", X.exact_query(F.col("text")).alias("q"))
 
 
-@query(f"SELECT a, b, round(jaro_winkler_similarity(a, b), 8) AS jw, levenshtein(a, b) AS edits, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 8) AS resolver FROM {PAIRS}")
+@query(f"SELECT a, b, round(jaro_winkler_similarity(a, b), 8) AS jw, levenshtein(a, b) AS edits, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 8) AS resolver FROM {PAIRS} WHERE {MEET}")
 def name_similarities(t):
     a, b = F.col("a"), F.col("b")
-    return name_pairs(t).select("a", "b", F.round(Y.jaro_winkler(a, b), 8).alias("jw"), F.levenshtein(a, b).cast("long").alias("edits"), F.round(Y.resolver_similarity(a, b), 8).alias("resolver"))
+    return S.name_candidates(names(t)).select("a", "b", F.round(Y.jaro_winkler(a, b), 8).alias("jw"), F.levenshtein(a, b).cast("long").alias("edits"), F.round(Y.resolver_similarity(a, b), 8).alias("resolver"))
 
 
 GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
 
 
-@query(f"SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 8) AS similarity FROM (SELECT a, b, {GRAMS.format('a')} AS x, {GRAMS.format('b')} AS y FROM {PAIRS})")
+@query(f"SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 8) AS similarity FROM (SELECT a, b, {GRAMS.format('a')} AS x, {GRAMS.format('b')} AS y FROM {PAIRS} WHERE {MEET})")
 def ngram_names(t):
-    return name_pairs(t).select("a", "b", F.round(Y.ngram_similarity(F.col("a"), F.col("b")), 8).alias("similarity"))
+    return S.name_candidates(names(t)).select("a", "b", F.round(Y.ngram_similarity(F.col("a"), F.col("b")), 8).alias("similarity"))
+
 
+_SOUND = "(SELECT upper(substr(w, 1, 1)) || rpad(substr(array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), ''), 1 + length(translate(substr(w, 1, 1), 'BFPVCGJKQSXZDTLMNRAEIOUHWY', '111122222222334556')), 3), 3, '0') FROM (SELECT w, string_split(translate(substr(w, 1, 1), 'BFPVCGJKQSXZDTLMNRAEIOUHWY', '111122222222334556') || translate(substr(w, 2), 'BFPVCGJKQSXZDTLMNRAEIOUHWY', '111122222222334556'), '') AS c FROM (SELECT regexp_replace(upper({0}), '[^A-Z]', '', 'g') AS w)))"
 
-@query()
+
+@query(f"""WITH n AS (SELECT p_name, {_SOUND.format('p_name')} AS z, {GRAMS.format('p_name')} AS g FROM {NAMES}),
+    p AS (SELECT a.p_name AS a, b.p_name AS b, jaro_winkler_similarity(a.p_name, b.p_name) AS jw, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS gr, len(list_filter([1, 2, 3, 4], lambda i: substr(a.z, i, 1) = substr(b.z, i, 1))) / 4.0::DOUBLE AS ph FROM n a JOIN n b ON a.p_name < b.p_name)
+    SELECT a, b, round(greatest(0.5 * jw + 0.3 * gr + 0.2 * ph, jw), 6) AS similarity FROM p WHERE round(greatest(0.5 * jw + 0.3 * gr + 0.2 * ph, jw), 6) >= 0.7 AND {MEET}""")
 def med_similarity(t):
-    return name_pairs(t).select("a", "b", F.round(Y.medication_similarity(F.col("a"), F.col("b")), 6).alias("similarity")).filter("similarity >= 0.7")
+    return S.name_candidates(names(t)).select("a", "b", F.round(Y.medication_similarity(F.col("a"), F.col("b")), 6).alias("similarity")).filter("similarity >= 0.7")
 
 
 _WORD = "list_distinct(flatten(list_transform(list_filter(string_split(lower({0}), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -153,14 +154,13 @@ def similar_pairs(t):
 VEC = "(SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
-@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id)::INT AS rank FROM {VEC} e JOIN {VEC} q ON e.vec_id <> q.vec_id WHERE q.vec_id IN (1, 2, 3)) WHERE rank <= 5")
+@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id)::INT AS rank FROM {VEC} e JOIN {VEC} q ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10")
 def cosine_topk(t):
-    return S.nearest(t.embeddings, F.broadcast(t.embeddings.filter("vec_id IN (1, 2, 3)")), 5)  # three stated queries
+    return S.nearest_in_blocks(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 10)
 
 
 @query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id)::INT AS rank FROM {VEC} e JOIN {VEC} q ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
 def cosine_neighbours(t):
-    """Every twentieth vector against all; cosine_topk keeps to the three queries of its SQL."""
     return S.nearest_in_blocks(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 5)
 
 
@@ -174,8 +174,8 @@ _TOK = "list_filter(regexp_split_to_array(lower(translate(text, chr(10) || ',.-'
 
 @query(f"""WITH w AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents), p AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1),
     g AS (SELECT count(*) AS n, avg(len) AS a FROM l), f AS (SELECT word, count(*) AS df FROM p GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest({_TOK}) AS word FROM benchmark),
-    s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN p USING (word) JOIN f USING (word) JOIN l USING (doc_id), g GROUP BY ALL)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 5""")
+    s AS (SELECT item_id, doc_id, round(-sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN p USING (word) JOIN f USING (word) JOIN l USING (doc_id), g GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id)::INT AS rank FROM s WHERE score < -1.0) WHERE rank <= 5""")
 def bm25_topk(t):
     return S.bm25(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 5)
 
@@ -201,7 +201,8 @@ def candidate_filter_stats(t):
     SELECT a, b, stage, round(CASE WHEN stage = 1 THEN 1 ELSE f END, 6) AS score FROM (SELECT *, min(stage) OVER (PARTITION BY a) AS m FROM s WHERE stage IS NOT NULL) WHERE stage = m""")
 def hierarchical_match(t):
     n = names(t)
-    pairs = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") != F.col("b"))
+    met = S.name_candidates(n)
+    pairs = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
     head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
     out = K.cascade(pairs, "a", head(F.col("a")) == head(F.col("b")), F.lit(None).cast("double"), Y.jaro_winkler(F.col("a"), F.col("b")))
     return out.select("a", "b", "stage", F.round("score", 6).alias("score"))
@@ -218,10 +219,10 @@ def hard_negatives(t):
     return K.sample_negatives(t.part.select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_partkey", F.when(F.col("p_size") < 5, 0).otherwise(1), 3).select("p_brand", "p_partkey", "rank")
 
 
-@query("SELECT l_orderkey, l_linenumber, round((0.55 * e + 0.3 * f + 0.05 * h + 0.05 * r) / 0.95, 6) AS score FROM (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS e, l_discount * 10 AS f, l_tax * 10 AS h, 0.5 AS r FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, round((0.55 * e + 0.3 * f + 0.05 * h + 0.05 * r) / 0.95, 6) AS score, list_sort([{'s': e * 0.55::DOUBLE, 'n': 'embedding'}, {'s': f * 0.3::DOUBLE, 'n': 'fuzzy'}, {'s': h * 0.05::DOUBLE, 'n': 'historical'}, {'s': r * 0.05::DOUBLE, 'n': 'recency'}])[4].n AS top, list_sort([{'s': e * 0.55::DOUBLE, 'n': 'embedding'}, {'s': f * 0.3::DOUBLE, 'n': 'fuzzy'}, {'s': h * 0.05::DOUBLE, 'n': 'historical'}, {'s': r * 0.05::DOUBLE, 'n': 'recency'}])[1].n AS weakest FROM (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS e, l_discount * 10 AS f, l_tax * 10 AS h, 0.5 AS r FROM lineitem)")
 def ensemble_score(t):
     c = K.ensemble({"embedding": (F.col("l_quantity") / 50, 0.55), "fuzzy": (F.col("l_discount") * 10, 0.30), "historical": (F.col("l_tax") * 10, 0.05), "recency": (F.lit(0.5), 0.05), "ai": (F.lit(1.0), 0.0)})
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(c["score"], 6).alias("score"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(c["score"], 6).alias("score"), c["top"].alias("top"), c["weakest"].alias("weakest"))
 
 
 @query("SELECT user_id, CASE WHEN a + r + f = 0 OR greatest(a, r, f) / (a + r + f) < 0.67 THEN 'Flagged' WHEN a = greatest(a, r, f) THEN 'Approved' WHEN r = greatest(a, r, f) THEN 'Rejected' ELSE 'Flagged' END AS verdict FROM (SELECT user_id, count(*) FILTER (value > 15) AS a, count(*) FILTER (value <= 5) AS r, count(*) FILTER (value > 5 AND value <= 15) AS f FROM events GROUP BY 1)")
@@ -274,7 +275,7 @@ def weight_update(t):
     return L.new_weights(factors(t), w, rate=5.0)
 
 
-@query()
+@query("SELECT user_id, event_type, count(*) AS n, count(*) FILTER (value > 10) AS confirmed, round(list_reduce(list(value > 10 ORDER BY ts, event_id), lambda a, x: CASE WHEN x THEN least(1.0::DOUBLE, a + 0.1) ELSE greatest(0.0::DOUBLE, a - 0.15) END, 0.5::DOUBLE), 6) AS affinity FROM events GROUP BY 1, 2")
 def affinity_fold(t):
     return L.affinity(t.events, ["user_id", "event_type"], "ts", "event_id", F.col("value") > 10).withColumn("affinity", F.round("affinity", 6))
 
@@ -305,12 +306,20 @@ def consecutive_runs(t):
     return L.runs(t.events, ["user_id"], ["ts", "event_id"], F.col("value") > 10).select("event_id", "run")
 
 
-@query()
+_MEAN = "list_avg(a.h)"
+_DEV = f"sqrt(list_avg(list_transform(a.h, lambda v: (v - {_MEAN}) * (v - {_MEAN}))))"
+
+
+@query(f"""SELECT unnest(ids) AS event_id, unnest(o) AS outlier FROM (SELECT list(event_id ORDER BY ts, event_id) AS ids, list_reduce(list(value ORDER BY ts, event_id),
+    lambda a, x: CASE WHEN len(a.h) >= 20 AND {_DEV} > 0 AND abs(x - {_MEAN}) / {_DEV} > 2.5 THEN {{'h': a.h, 'o': list_append(a.o, true)}} ELSE {{'h': CASE WHEN len(a.h) >= 100 THEN list_append(a.h[2:], x) ELSE list_append(a.h, x) END, 'o': list_append(a.o, false)}} END,
+    {{'h': []::DOUBLE[], 'o': []::BOOLEAN[]}}).o AS o FROM events GROUP BY user_id)""")
 def outlier_rolling(t):
     return L.outliers(t.events.select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "outlier")
 
 
-@query()
+@query("""SELECT conv_id, unnest(ts) AS turn, unnest(o) AS batch FROM (SELECT conv_id, list(turn ORDER BY turn) AS ts, list_reduce(list(n ORDER BY turn),
+    lambda a, x: CASE WHEN a.c > 0 AND (a.u + x > 300 OR a.c >= 10) THEN {'k': a.k + 1, 'u': x, 'c': 1::BIGINT, 'o': list_append(a.o, a.k + 1)} ELSE {'k': a.k, 'u': a.u + x, 'c': a.c + 1, 'o': list_append(a.o, a.k)} END,
+    {'k': 0::BIGINT, 'u': 0::BIGINT, 'c': 0::BIGINT, 'o': []::BIGINT[]}).o AS o FROM (SELECT conv_id, turn, ceil(strlen(text) / 3.0)::BIGINT AS n FROM conversations) GROUP BY 1)""")
 def token_batches(t):
     c = t.conversations.select("conv_id", "turn", X.token_estimate(F.col("text")).cast("long").alias("n"))
     return L.token_batches(c, ["conv_id"], ["turn"], "n", budget=300).select("conv_id", "turn", "batch")
@@ -322,14 +331,14 @@ def auto_decision(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", K.decision(F.col("l_suppkey") % 50 == 0, F.col("l_tax") > 0.07, F.col("l_quantity") / 50, limit).alias("decision"))
 
 
-@query("SELECT DISTINCT least(l_suppkey, l_partkey) AS pair_a, greatest(l_suppkey, l_partkey) AS pair_b FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT DISTINCT least(l_suppkey, l_partkey) AS pair_a, greatest(l_suppkey, l_partkey) AS pair_b FROM lineitem")
 def pair_keys(t):
-    return t.lineitem.filter("l_linenumber = 1").select(*R.pair_key(F.col("l_suppkey"), F.col("l_partkey"))).distinct()
+    return t.lineitem.select(*R.pair_key(F.col("l_suppkey"), F.col("l_partkey"))).distinct()
 
 
 @query("SELECT p.pair_a, p.pair_b, c.pair_a IS NOT NULL AS cooling FROM (SELECT DISTINCT least(l_suppkey, l_partkey) AS pair_a, greatest(l_suppkey, l_partkey) AS pair_b FROM lineitem) p LEFT JOIN (SELECT DISTINCT least(o_custkey, o_orderkey % 100) AS pair_a, greatest(o_custkey, o_orderkey % 100) AS pair_b FROM orders WHERE o_orderdate + INTERVAL 365 DAY > TIMESTAMP '1996-01-01') c USING (pair_a, pair_b)")
 def pair_cooldowns(t):
-    """The pairs of all lines, probed against pairs that cool down for a year from an order on; pair_keys keeps to the first lines of its SQL."""
+    """The pairs of all lines, probed against pairs that cool down for a year from an order on."""
     pairs = t.lineitem.select(*R.pair_key(F.col("l_suppkey"), F.col("l_partkey"))).distinct()
     cooling = t.orders.filter("o_orderdate + INTERVAL 365 DAY > TIMESTAMP '1996-01-01'").select(*R.pair_key(F.col("o_custkey"), F.col("o_orderkey") % 100))
     return R.probe(pairs, cooling, "cooling")

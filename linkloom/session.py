@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,5 +20,22 @@ def session(name: str = "linkloom", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-")).rstrip("/")
+    """spark.checkpoint.dir; a folder of this machine only in local mode where none is set, as in tests."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (d or tempfile.mkdtemp(prefix="linkloom-")).rstrip("/")
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when this process ends, as its results end with it."""
+
+    def delete() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone
+            return
+
+    atexit.register(delete)
+    return path

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.session import shared_dir
+from linkloom.operators.folds import folded
+from linkloom.operators.relational import top_k
+from linkloom.session import forget_at_exit, shared_dir
 
 
 def source(spark: SparkSession, folder: str, schema: T.StructType, name: str, files: int = 1) -> DataFrame:
@@ -48,50 +49,95 @@ def deduplicated(df: DataFrame, sender: str, content: str, at: str, window: str
 
 def replay_duplicates(df: DataFrame, sender: str, content: str, at: str, tie: str, window: float = 10.0) -> DataFrame:
     """df with duplicate, by the exact rule over a finished log: a message less than `window` seconds from the last recorded one of its sender and content."""
-    schema = T.StructType([*df.schema.fields, T.StructField("duplicate", T.BooleanType())])
+    us = df.withColumn("us__", F.unix_micros(F.col(at).cast("timestamp")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie], kind="stable")
-        return pdf.assign(duplicate=replayed([t.timestamp() for t in pdf[at]], None, window)[0])
+    def step(recorded: int | None, t: int) -> tuple[int | None, tuple[bool]]:
+        flags, last = replayed([t / 1e6], None if recorded is None else recorded / 1e6, window)
+        return (recorded if flags[0] else t), (flags[0],)
 
-    return df.groupBy(sender, content).applyInPandas(run, schema)
+    return folded(us, [sender, content], [at, tie], ["us__"], [T.StructField("duplicate", T.BooleanType())], lambda: None, step).drop("us__")
 
 
 def rate_limited(df: DataFrame, keys: list[str], at: str, tie: str, per_minute: float = 1000.0, burst: float = 100.0) -> DataFrame:
     """df with allowed: a token bucket of each key in order of time."""
-    schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie], kind="stable")
-        left, last, out = burst, None, []
-        for t in pdf[at]:
-            left = burst if last is None else min(burst, left + (t - last).total_seconds() * per_minute / 60)
-            last = t
-            out.append(left >= 1)
-            left -= left >= 1
-        return pdf.assign(allowed=out)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def breaker(outcomes: list[bool], most: int = 3, rest: int = 5) -> list[str]:
-    """States before each call of a circuit breaker: after `most` failures in a row `rest` calls are turned away, then one is tried."""
-    state, failures, wait, out = "closed", 0, 0, []
-    for ok in outcomes:
-        if state == "open":
-            wait -= 1
-            if wait < 0:
-                state = "half_open"
-        out.append(state)
-        if state == "open":
-            continue
-        if ok:
-            state, failures = "closed", 0
-        else:
-            failures += 1
-            if state == "half_open" or failures >= most:
-                state, failures, wait = "open", 0, rest
-    return out
+    us = df.withColumn("us__", F.unix_micros(F.col(at).cast("timestamp")))
+
+    def step(state: tuple[float, int | None], t: int) -> tuple[tuple[float, int | None], tuple[bool]]:
+        left, last = state
+        left = burst if last is None else min(burst, left + (t - last) / 1e6 * per_minute / 60)
+        return (left - (left >= 1), t), (left >= 1,)
+
+    return folded(us, keys, [at, tie], ["us__"], [T.StructField("allowed", T.BooleanType())], lambda: (burst, None), step).drop("us__")
+
+
+def micro_batches(df: DataFrame, keys: list[str], at: str, tie: str, most: int = 10, seconds: float = 5.0) -> DataFrame:
+    """df with batch: in order, a batch ends with its `most`-th message or when the next comes so long after its first."""
+    us = df.withColumn("us__", F.unix_micros(F.col(at).cast("timestamp")))
+
+    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], tuple[int]]:
+        k, n, first = state
+        if n >= most or n and t - first >= seconds * 1e6:
+            k, n = k + 1, 0
+        return (k, n + 1, first if n else t), (k,)
+
+    return folded(us, keys, [at, tie], ["us__"], [T.StructField("batch", T.LongType())], lambda: (0, 0, 0), step).drop("us__")
+
+
+def backfill(df: DataFrame, keys: list[str], at: str, tie: str, now: Column, hours: int, most: int) -> DataFrame:
+    """A conversation's newest messages, `most` of them and none older than so many hours before now."""
+    recent = df.filter(F.col(at) >= now - F.expr(f"interval {hours} hours"))
+    return top_k(recent, keys, [F.desc(at), F.desc(tie)], most).drop("rank")
+
+
+def history_guard(df: DataFrame, keys: list[str], at: str, tie: str, cooldown: float = 300.0) -> DataFrame:
+    """df with allowed: a conversation's synchronisations are refused for `cooldown` seconds from the last allowed one."""
+    us = df.withColumn("us__", F.unix_micros(F.col(at).cast("timestamp")))
+
+    def step(last: int | None, t: int) -> tuple[int | None, tuple[bool]]:
+        ok = last is None or t - last >= cooldown * 1e6
+        return (t if ok else last), (ok,)
+
+    return folded(us, keys, [at, tie], ["us__"], [T.StructField("allowed", T.BooleanType())], lambda: None, step).drop("us__")
+
+
+def shard(key: Column, workers: int) -> Column:
+    """The worker of a key: h = 31 h + byte over its UTF-8 bytes in 64 bits, without the sign bit of 32, modulo the workers."""
+    codes = F.transform(F.sequence(F.lit(1), (F.length(F.hex(key.cast("binary"))) / 2).cast("int")), lambda i: F.conv(F.substring(F.hex(key.cast("binary")), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda h, b: (h * 31 + b).bitwiseAND(0x7FFFFFFF))
+    return F.when(key == "", 0).otherwise(h % workers).cast("int")
+
+
+def sharded(df: DataFrame, key: str, at: str, workers: int) -> DataFrame:
+    """df dealt to so many tasks by key, each in order of time: what ordered workers with a channel each would see. Nothing is dropped."""
+    return df.withColumn("worker", shard(F.col(key).cast("string"), workers)).repartition(workers, "worker").sortWithinPartitions("worker", key, at)
+
+
+def fan_out(subscribers: dict[str, Column]) -> Callable[[DataFrame, int, str], None]:
+    """A sink that gives each subscriber the rows of a batch that meet its filter, in a folder of its own; a repeated batch overwrites itself."""
+
+    def put(batch: DataFrame, n: int, path: str) -> None:
+        batch.persist()
+        for name, wanted in subscribers.items():
+            batch.filter(wanted).withColumn("subscriber", F.lit(name)).write.mode("overwrite").parquet(f"{path}/{name}-{n}")
+        batch.unpersist()
+
+    return put
+
+
+def delivered(send: Callable[[DataFrame], None], dead: str, attempts: int = 3) -> Callable[[DataFrame, int, str], None]:
+    """A sink that sends a batch up to `attempts` times, in order, and puts it in the folder of dead letters when all fail."""
+
+    def put(batch: DataFrame, n: int, path: str) -> None:
+        for k in range(attempts):
+            try:
+                send(batch)
+                batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+                return
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"[:500]
+        batch.withColumns({"error": F.lit(error), "attempts": F.lit(attempts)}).write.mode("overwrite").parquet(f"{dead}/batch={n}")
+
+    return put
 
 
 def window_counts(df: DataFrame, at: str, keys: list[str], width: str, late: str, slide: str | None = None) -> DataFrame:
@@ -99,15 +145,21 @@ def window_counts(df: DataFrame, at: str, keys: list[str], width: str, late: str
     return df.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def drained(df: DataFrame, mode: str, put: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
-    """Runs a stream over what is there now and reads what it wrote; a batch that is repeated overwrites itself."""
+def drained(df: DataFrame, mode: str, put: Callable[[DataFrame, int, str], None] | None = None, every: str | None = None, seconds: float | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Runs a stream over what is there now and reads what it wrote; a batch that is repeated overwrites itself.
+
+    every: polls at this interval in place of once, for so many seconds. What it wrote is deleted as the process ends.
+    """
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = forget_at_exit(spark, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
 
     def sink(batch: DataFrame, n: int) -> None:
         (put or (lambda b, k, path: b.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={k}")))(batch, n, f"{base}/out")
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.schema(df.schema).parquet(f"{base}/out")
-    return out.select(*df.columns)
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink)
+    q = w.trigger(processingTime=every).start() if every else w.trigger(availableNow=True).start()
+    q.awaitTermination(seconds) if every else q.awaitTermination()
+    if every:
+        q.stop()
+    out = spark.read.schema(schema or df.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    return out.select(*(schema or df.schema).names)
