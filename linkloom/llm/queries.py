@@ -91,6 +91,18 @@ ORACLES = {
         FROM e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
     "op3_license_scans": licenses.oracle(),
     "op3_license_runs": licenses.runs_oracle(),
+    # each window of 100 bytes, two hexadecimal digits a byte
+    "op8_suffix_array_dedup": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, md5_number_lower(substr(x, 2 * p + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS p FROM b WHERE length(x) >= 200)),
+        l AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+        j AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM l),
+        i AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM j) GROUP BY doc_id, g),
+        k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list({'a': a, 'z': z} ORDER BY a) AS s FROM i GROUP BY 1)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(CASE WHEN s IS NULL THEN x ELSE array_to_string(list_transform(s, lambda e, i: substr(x, 1 + CASE WHEN i = 1 THEN 0 ELSE 2 * s[i - 1].z END, 2 * (e.a - CASE WHEN i = 1 THEN 0 ELSE s[i - 1].z END))), '')
+                || substr(x, 2 * s[-1].z + 1) END)) AS kept_sha256
+        FROM b LEFT JOIN k USING (doc_id)""",
     "op10_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
