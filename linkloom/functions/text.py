@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,3 +159,19 @@ def truncated(c: Column, most: int) -> Column:
 def token_estimate(c: Column) -> Column:
     """Three bytes a token, as the offline estimate."""
     return F.ceil(F.octet_length(c) / 3)
+
+
+def token_counter(vocabulary_path: str, pattern: str) -> Callable[[Column], Column]:
+    """Tokens of a column under a byte-level vocabulary file of ranks, where tiktoken is installed; null texts have none."""
+    with open(vocabulary_path, "rb") as f:
+        raw = f.read()
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return texts.map(lambda t: len(encode(t)) if t else 0)
+
+    return count

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,33 @@ def sample_negatives(df: DataFrame, group: list[str], key: str, priority: Column
     return top_k(df.withColumn("__p", priority), group, [F.asc("__p"), F.asc(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))), F.asc(key)], k).drop("__p")
 
 
+def hard_negatives(related: DataFrame, names: DataFrame, name: str, k: int, seed: int = 42) -> DataFrame:
+    """(a, b, stage, rank): k negatives of each name: related ones (a, b, stage) by stage, then any others, each in an order fixed by a hash.
+
+    Whatever is related to a name, k others are among the 2 k + 1 names of the least hashes, so only these meet all names.
+    """
+    order = lambda c: F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{seed}")))
+    n = names.select(F.col(name).alias("a")).distinct()
+    few = n.select(F.col("a").alias("b")).orderBy(order("b"), "b").limit(2 * k + 1)
+    others = n.crossJoin(F.broadcast(few)).filter("a <> b").withColumn("stage", F.lit(2))  # 2 k + 1 rows
+    best = related.select("a", "b", "stage").unionByName(others).groupBy("a", "b").agg(F.min("stage").alias("stage"))
+    return top_k(best, ["a"], [F.asc("stage"), F.asc(order("b")), F.asc("b")], k)
+
+
+class Strategy(Protocol):
+    """A scorer that can be plugged in: its score is a Column over a frame of pairs; weight 0 turns it off."""
+
+    name: str
+    weight: float
+
+    def score(self) -> Column: ...
+
+
+def plugged(strategies: list[Strategy]) -> Column:
+    """ensemble() of strategies."""
+    return ensemble({s.name: (s.score(), s.weight) for s in strategies})
+
+
 def ensemble(strategies: dict[str, tuple[Column, float]]) -> Column:
     """struct(score, top, weakest): the weighted mean over enabled strategies (weight over 0), a missing score counting 0."""
     on = {k: (F.coalesce(c, F.lit(0.0)), w) for k, (c, w) in strategies.items() if w > 0}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -169,3 +169,9 @@ def histogram_quantile(q: float, n: Column, counts: list[Column], bounds: tuple[
         out = F.when(c >= q * n, value) if out is None else out.when(c >= q * n, value)
         low, before = b, c
     return out.otherwise(F.lit(bounds[-1]))
+
+
+def observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """df, and its metrics, which are counted as it is written or read anyway; their values are there after the first action."""
+    o = Observation(name)
+    return df.observe(o, *[c.alias(k) for k, c in metrics.items()]), o

@@ -100,12 +100,22 @@ def semantic_repeats(df: DataFrame, key: str, sender: str, second: str, vector:
 
 
 def trigram_matches(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of names (a of left, b of right) that share a trigram and reach `least`; candidates meet by trigram, not all with all."""
-    x = left.select("a", F.explode(Y.word_trigrams(F.col("a"))).alias("g"))
-    y = right.select("b", F.explode(Y.word_trigrams(F.col("b"))).alias("g"))
-    shared = x.join(y, "g").groupBy("a", "b").agg(F.count("*").alias("both"))
-    union = F.size(Y.word_trigrams(F.col("a"))) + F.size(Y.word_trigrams(F.col("b"))) - F.col("both")
-    return shared.withColumn("similarity", F.round(F.col("both") / union, 6)).filter(F.col("similarity") >= least).drop("both")
+    """(a, b, similarity) of names (a of left, b of right) whose trigrams' Jaccard similarity reaches `least`, over 0.
+
+    Names of similarity t share one of the rarest |x| - ceil(t |x|) + 1 trigrams of either, so only those are keys, and
+    frequent trigrams make no candidates; the similarity itself is of all trigrams.
+    """
+    sides = [(df.select(c).filter(F.col(c).isNotNull()).distinct(), c) for df, c in ((left, "a"), (right, "b"))]
+    exploded = [df.select(F.col(c).alias("n"), F.explode(Y.word_trigrams(F.col(c))).alias("g")) for df, c in sides]
+    often = exploded[0].select("g").unionAll(exploded[1].select("g")).groupBy("g").agg(F.count("*").alias("f"))
+
+    def keys(x: DataFrame, c: str) -> DataFrame:
+        by = x.join(often, "g").groupBy(F.col("n").alias(c)).agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))  # a name's own
+        few = F.size("gs") - F.ceil((least - 1e-6) * F.size("gs")).cast("int") + 1
+        return by.select(c, F.explode(F.slice("gs", 1, F.least(F.size("gs"), few))).alias("k")).select(c, "k.g")
+
+    pairs = keys(exploded[0], "a").join(keys(exploded[1], "b"), "g").select("a", "b").distinct()
+    return pairs.withColumn("similarity", F.round(Y.trigram_similarity(F.col("a"), F.col("b")), 6)).filter(F.col("similarity") >= least)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: list[str] | None = None) -> DataFrame:

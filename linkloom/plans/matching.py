@@ -11,7 +11,7 @@ from linkloom.operators import linkage as K
 from linkloom.operators import relational as R
 from linkloom.operators import search as S
 from linkloom.plans.adapting import _ASKED, _MASTERS, dictionary
-from linkloom.plans.linking import _TOK, _WORD, NAMES, VEC, names
+from linkloom.plans.linking import _TOK, _WORD, MEET, NAMES, VEC, names
 from linkloom.plans.registry import Tables, query
 
 # candidates: open lines ask, the newest returned lines of the same part offer
@@ -57,11 +57,11 @@ _TEXT_PAIRS = f"(SELECT a.p_name AS a, b.p_name AS b FROM {NAMES} a JOIN {NAMES}
 _HITS = f"""WITH w AS (SELECT p_name AS doc_id, unnest({_TOK.replace('text', 'p_name')}) AS word FROM {NAMES}), p AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1),
     g AS (SELECT count(*) AS n, avg(len) AS a FROM l), f AS (SELECT word, count(*) AS df FROM p GROUP BY 1), q AS (SELECT DISTINCT p_name AS item_id, unnest({_TOK.replace('text', 'p_name')}) AS word FROM {NAMES}),
     s AS (SELECT item_id, doc_id, round(-sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN p USING (word) JOIN f USING (word) JOIN l USING (doc_id), g GROUP BY ALL),
-    top AS (SELECT item_id AS a, doc_id AS b FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id) AS r FROM s WHERE score < -1.0) WHERE r <= 21),
-    h AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY (SELECT score FROM s WHERE item_id = a AND doc_id = b), b) AS r FROM top WHERE a <> b)"""
+    top AS (SELECT item_id AS a, doc_id AS b, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id) AS r FROM s WHERE score < -1.0) WHERE r <= 21),
+    h AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score, b) AS r FROM top WHERE a <> b AND {MEET})"""
 
 
-@query(f"""{_HITS}, k AS (SELECT a, b FROM h WHERE r <= 20), pr AS (SELECT x.a, x.b FROM {_TEXT_PAIRS} x WHERE EXISTS (SELECT 1 FROM k WHERE k.a = x.a AND k.b = x.b) OR NOT EXISTS (SELECT 1 FROM k WHERE k.a = x.a)),
+@query(f"""{_HITS}, k AS (SELECT a, b FROM h WHERE r <= 20), pr AS (SELECT a, b FROM {_TEXT_PAIRS} x WHERE {MEET} AND (EXISTS (SELECT 1 FROM k WHERE k.a = x.a AND k.b = x.b) OR NOT EXISTS (SELECT 1 FROM k WHERE k.a = x.a))),
     e AS (SELECT a, b, CASE WHEN split_part(a, ' ', 2) = split_part(b, ' ', 2) THEN 0.9 ELSE 0.1 END AS e, jaro_winkler_similarity(a, b) AS f, split_part(a, ' ', 1) = split_part(b, ' ', 1) AND length(a) = length(b) AS m FROM pr),
     rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY e DESC, f DESC, b) AS rank FROM e),
     st AS (SELECT a, b, CASE WHEN m THEN 1 WHEN e >= 0.85 AND rank <= 10 AND f >= 0.7 AND 0.4 * e + 0.6 * f >= 0.75 THEN 2 WHEN f >= 0.75 THEN 3 END AS stage, e, f FROM rk)
@@ -71,9 +71,10 @@ def text_search_match(t):
 
 
 def cascade(t: Tables) -> DataFrame:
-    """Names against names: the candidates of each are the dictionary, BM25 leaves twenty of them, or all where it finds none."""
+    """Names against names: the candidates of each share letters with it; BM25 leaves twenty of them, or all where it finds none."""
     n = names(t)
-    every = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") != F.col("b"))  # a stated dictionary of 64 names; in production candidates() bounds a request's offers
+    met = S.name_candidates(n)
+    every = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hits = S.bm25(n, "p_name", "p_name", n.select(F.col("p_name").alias("a"), F.col("p_name").alias("text")), "a", "text", 21).select("a", F.col("p_name").alias("b"), "score")
     few = K.pruned(every, hits.filter("a <> b"), "a", "b", 20)
     a, b = F.col("a"), F.col("b")
@@ -264,10 +265,10 @@ def spelled_negatives(t):
     n = names(t)
     alike = S.trigram_matches(n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b")), 0.3).select("a", "b", F.lit(1).alias("like"))
     head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    pool = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") != F.col("b"))  # a dictionary of 64 names: the pool is all of it
-    k = F.when(head("a") == head("b"), 0).when(F.col("like") == 1, 1).otherwise(2)
-    d = pool.join(alike, ["a", "b"], "left").withColumn("stage", k)
-    return K.sample_negatives(d, ["a"], "b", F.col("stage"), 8).select("a", "b", "stage", "rank")
+    met = alike.filter("a <> b").withColumn("stage", F.lit(1)).select("a", "b", "stage")
+    w = n.withColumn("w", head("p_name"))
+    same = w.select("w", F.col("p_name").alias("a")).join(w.select("w", F.col("p_name").alias("b")), "w").filter("a <> b").select("a", "b", F.lit(0).alias("stage"))
+    return K.hard_negatives(met.unionByName(same), n, "p_name", 8)
 
 
 @query("""SELECT l_partkey AS part, l_suppkey AS supplier, coalesce(severity, 'none') AS severity FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) LEFT JOIN (SELECT least(o_custkey % 200, o_orderkey % 100) AS a, greatest(o_custkey % 200, o_orderkey % 100) AS b, min(CASE WHEN o_orderstatus = 'P' THEN 'critical' ELSE 'high' END) AS severity FROM orders GROUP BY ALL) ON a = least(l_partkey, l_suppkey) AND b = greatest(l_partkey, l_suppkey)""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,3 +62,29 @@ def counts_of(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES)
 
 def plan_of(df: DataFrame) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def seed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(masters, aliases) from a seed file {medications: [{canonical_name, ..., aliases: [...]}]}; aliases name their master."""
+    item = "struct<canonical_name:string,canonical_name_ar:string,active_ingredient:string,strength:string,dosage_form:string,manufacturer:string,therapeutic_class:string,atc_code:string,aliases:array<string>>"
+    whole = spark.read.json(path, schema=f"version string, description string, medications array<{item}>", multiLine=True)
+    m = whole.select(F.explode("medications").alias("m")).select("m.*")
+    return m.drop("aliases"), m.select("canonical_name", F.explode("aliases").alias("alias"))
+
+
+def preview(df: DataFrame, n: int = 10) -> DataFrame:
+    return df.limit(n)
+
+
+def storage_of(df: DataFrame, name: str) -> DataFrame:
+    """(table_name, files, bytes) of a table read from files; what a database keeps beside that has no counterpart here."""
+    files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).groupBy("p").agg(F.max("s").alias("s"))
+    return files.agg(F.lit(name).alias("table_name"), F.count("*").alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("bytes"))
+
+
+def plan_summary(df: DataFrame) -> dict[str, object]:
+    """Counts of scans, exchanges and joins in a plan, and scans without a pushed filter, which read a table whole."""
+    text = plan_of(df)
+    count = lambda p: len(re.findall(p, text, re.M))
+    whole = [m[0] for m in re.finditer(r"^\(\d+\) Scan .*(?:\n(?!\n).*)*", text, re.M) if "PushedFilters: [" not in m[0]]
+    return {"scans": count(r"^\(\d+\) Scan "), "exchanges": count(r"^\(\d+\) (?:Broadcast)?Exchange"), "joins": count(r"^\(\d+\) \w*Join"), "nested_loops": count(r"^\(\d+\) (?:BroadcastNestedLoopJoin|CartesianProduct)"), "whole_scans": len(whole)}
