@@ -72,7 +72,8 @@ def test_linkage(spark):
 
 def test_search(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red red fox"), (3, None), (4, "")], "id int, text string")
-    got = S.bm25(docs, "id", "text", spark.createDataFrame([(9, "fox red")], "q int, t string"), "q", "t", 5).collect()
+    got = S.bm25(docs, "id", "text", spark.createDataFrame([(9, "fox red")], "q int, t string"), "q", "t", 5, cut=0.0).collect()
+    assert S.bm25(docs, "id", "text", spark.createDataFrame([(9, "fox red")], "q int, t string"), "q", "t", 5).count() == 0 and all(r.score < 0 for r in got)
     assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == [2, 1]
     parts = [("a", spark.createDataFrame([(1, 5, 0.5)], "g int, id int, score double")), ("b", spark.createDataFrame([(1, 5, 0.9), (1, 6, 0.7)], "g int, id int, score double"))]
     assert {(r.id, r.method, r.score) for r in S.fuse(parts, ["id"], 5, "g").collect()} == {(5, "a", 0.5), (6, "b", 0.7)}
@@ -91,7 +92,6 @@ def test_sources(spark, tmp_path):
 
 def test_streams(spark):
     assert I.replayed([0.0, 9.0, 10.0, 12.0], None, 10.0) == ([False, True, False, True], 10.0)
-    assert I.breaker([False] * 3 + [True] * 7, rest=5) == ["closed"] * 3 + ["open"] * 5 + ["half_open", "closed"]
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate([0, 0, 0, 60])], "k int, i int, ts timestamp")
     got = I.rate_limited(df, ["k"], "ts", "i", per_minute=1, burst=2).orderBy("i").collect()
@@ -101,26 +101,28 @@ def test_streams(spark):
 
 
 def by_hand(text):
-    """(number, intent, segment), letter by letter."""
+    """(number, intent, marker, segment), letter by letter."""
     marks = []
     for pattern, intent in ((splitting.OFFER, "Offer"), (splitting.REQUEST, "Request")):
         at = 0
         while at < len(text):
             m = pattern.match(text, at)
-            marks += [(at, intent)] if m else []
+            marks += [(at, m.end(), intent)] if m else []
             at = m.end() if m else at + 1
-    out, intent, start = [], "Unknown", 0
-    for at, after in [*sorted(marks), (len(text), None)]:
+    if not marks:
+        return [(0, "Unknown", None, text)]
+    out, intent, marker, start = [], "Unknown", None, 0
+    for at, end, after in [*sorted(marks), (len(text), len(text), None)]:
         if text[start:at].strip():
-            out.append((len(out), intent, text[start:at].strip()))
-        start, intent = at, after
+            out.append((len(out), intent, marker, text[start:at].strip()))
+        start, intent, marker = end, after, text[at:end].strip()
     return out
 
 
 def test_intent_segments_of_all_messages(spark, tmp_path):
-    texts = ["hello available panadol need aspirin", "I have x for sale", "plain", "", None, "مطلوب دواء متوفر بندول", "behave kneed", "we need\nneed it\n\nselling two looking for one", " wanted "]
+    texts = ["hello available panadol need aspirin", "I have x for sale", "plain", "", None, "مطلوب دواء متوفر بندول", "behave kneed", "we need\nneed it\n\nselling two looking for one", " wanted ", "  untouched  "]
     spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = sorted(map(tuple, QUERIES["intent_segments"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["intent_split"](spark, str(tmp_path)).collect()))
     assert got == [(i, 0, *r) for i, x in enumerate(texts) for r in by_hand(x or "")]
     assert {r[3] for r in got} == {"Offer", "Request", "Unknown"}
 
