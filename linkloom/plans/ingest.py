@@ -86,14 +86,21 @@ def group_shards(t):
     return I.sharded(t.events, "event_type", "ts", 4).groupBy("event_type", "worker").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, 'strict_ok' AS status, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS json FROM events")
+_K = "json_extract_string(props, '$.k')"
+
+
+@query(f"SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'failed' ELSE 'strict_ok' END AS status, CASE event_id % 4 WHEN 0 THEN '{{\"k\": ' || {_K} || '}}' WHEN 1 THEN '[' || {_K} || ', {{\"z\": []}}]' WHEN 2 THEN '\"' || event_type || '\"' END AS json FROM events")
 def json_strict(t):
-    return t.events.select("event_id", json_repair.repair_json("props").alias("r")).select("event_id", "r.status", "r.json")
+    n, k = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    text = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit(" [ "), k, F.lit(' ,{"z":[]}]\n'))).when(n == 2, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(F.col("event_type"))
+    return t.events.select("event_id", json_repair.repair_json(text).alias("r")).select("event_id", "r.status", "r.json")
 
 
-@query("SELECT event_id, 'repaired' AS status, '{\"k\": ' || json_extract_string(props, '$.k') || ', \"ok\": true}' AS json FROM events")
+@query(f"SELECT event_id, 'repaired' AS status, CASE event_id % 5 WHEN 0 THEN '{{\"k\": ' || {_K} || ', \"ok\": true}}' WHEN 1 THEN '{{\"k\": ' || {_K} || '}}' WHEN 2 THEN '{{\"k\": ' || {_K} || ', \"list\": [1, 2]}}' WHEN 3 THEN '{{\"k\": ' || {_K} || ', \"b\": null}}' ELSE '[{{\"k\": ' || {_K} || '}}, {{\"t\": \"' || event_type || '\"}}]' END AS json FROM events")
 def json_repaired(t):
-    broken = F.concat(F.lit("Sure: {k: "), F.get_json_object("props", "$.k"), F.lit(", 'ok': True,} // done"))
+    n, k = F.col("event_id") % 5, F.get_json_object("props", "$.k")
+    broken = F.when(n == 0, F.concat(F.lit("Sure: {k: "), k, F.lit(", 'ok': True,} // done"))).when(n == 1, F.concat(F.lit('```json\n{"k": '), k, F.lit("}\n```"))).when(n == 2, F.concat(F.lit('{"k": '), k, F.lit(', "list": [1, 2')))
+    broken = broken.when(n == 3, F.concat(F.lit("{\u201ck\u201d: "), k, F.lit(' /* c */ "b": None}'))).otherwise(F.concat(F.lit('[{"k": '), k, F.lit("} {'t': "), "event_type", F.lit("}]")))
     return t.events.select("event_id", json_repair.repair_json(broken).alias("r")).select("event_id", "r.status", "r.json")
 
 
