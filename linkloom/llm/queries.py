@@ -27,11 +27,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return licenses.runs(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-def op3_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.runs(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+def op3_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_license_scans, op4_sentencepiece, op5_media_columns, op6_toxicity, op7_secret_scans, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_mixing)}
-#: Beside the first query of an operator: the whole job where that one's SQL says less.
-MORE = {"op3_license_runs": op3_license_runs}
+#: Beside the first query of an operator: lines and blocks as wholes, where that one takes any run of words.
+MORE = {"op3_license_lines": op3_license_lines}
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -89,8 +89,8 @@ ORACLES = {
         n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
         SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
         FROM e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
-    "op3_license_scans": licenses.oracle(),
-    "op3_license_runs": licenses.runs_oracle(),
+    "op3_license_scans": licenses.runs_oracle(),
+    "op3_license_lines": licenses.oracle(),
     # each window of 100 bytes, two hexadecimal digits a byte
     "op8_suffix_array_dedup": """
         WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
