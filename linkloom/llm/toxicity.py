@@ -12,8 +12,8 @@ lexicon: stated word lists, and stems that the labels show. Five weighted transd
 
 They are composed into one machine, whose states are made as they are met. Each arc has a weight; a path's weight is the
 product of its arcs' and of the word's in the lexicon. A clause weighs as much as what was matched in it. A logistic
-model over the two heaviest clauses, all but the heaviest together and the counts of what was matched gives the score. Its weights are
-fitted with a prior at DEFAULT, which holds where the labels say little. A word outside of the lexicon never moves the
+model over the two heaviest paths, the heaviest clause and the counts of what was matched gives the score. Its weights
+are fitted with a prior at DEFAULT, which holds where the labels say little. A word outside of the lexicon never moves the
 score, nor does a label, language, source or id.
 
 Stems and model weights are fitted on a bounded sample: at most MOST_TOXIC and MOST_CLEAN labelled documents, those of
@@ -64,9 +64,9 @@ STEMS = (4, 5, 6, 7)
 THREAT, NEGATED, REPORTED = 17, 18, 19
 #: What the composed machine writes.
 PLAIN, AIMED, DENIED, QUOTED, MENACE, MENACE_AIMED = range(1, 7)
-FEATURES = ["best", "second", "rest", "plain", "aimed", "negated", "reported", "menace", "menace_aimed"]
+FEATURES = ["best", "second", "clause", "plain", "aimed", "negated", "reported", "menace", "menace_aimed"]
 #: The model's weights before any label is seen, the constant first.
-DEFAULT = np.array([-4.0, 4.0, 2.0, 1.0, 1.0, 1.5, -0.5, -0.5, 3.0, 4.0])
+DEFAULT = np.array([-4.0, 3.0, 1.0, 1.0, 1.0, 1.5, -0.5, -0.5, 3.0, 4.0])
 
 Step = Callable[[int, int], tuple[int, int, float]]
 
@@ -199,11 +199,14 @@ class Grammar:
         if not any(self.of(w)[0] in (INSULT, HARM, DIE) for w in set(WORD.findall(low))):
             return out
         parts = self.clauses(low)
-        weights = [*sorted((min(2.0, sum(found.values())) for found, _ in parts), reverse=True), 0.0, 0.0]
-        out[0], out[1], out[2] = weights[0], weights[1], np.log1p(sum(weights[1:]))
-        for _, wrote in parts:
+        paths: dict[str, float] = {}
+        for found, wrote in parts:
+            out[2] = max(out[2], min(2.0, sum(found.values())))
+            for w, weight in found.items():
+                paths[w] = max(paths.get(w, 0.0), weight)
             for what in wrote:
                 out[2 + what] += 1
+        out[0], out[1] = [*sorted(paths.values(), reverse=True), 0.0, 0.0][:2]
         out[3:] = np.log1p(out[3:])
         return out
 
@@ -249,7 +252,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     return {r["f"]: float(r["w"]) for r in top.collect()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic weights, the first for the constant, by Newton's steps; ridge pulls them toward DEFAULT."""
     x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
     w, keep = DEFAULT.copy(), np.full(x.shape[1], ridge)
