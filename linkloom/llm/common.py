@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: What this process has written in shared folders and not deleted yet, with the session that can delete it.
 _written: dict[str, SparkSession] = {}
+#: The names that buckets among them have in the catalogue.
+_tables: dict[str, str] = {}
 
 
 @atexit.register
@@ -49,6 +51,8 @@ def drop_all_cuts() -> None:
 
 def _delete(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
+    if name := _tables.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -71,12 +75,13 @@ def cut(df: DataFrame) -> DataFrame:
 def bucketed_cut(df: DataFrame, keys: list[str]) -> DataFrame:
     """cut() as a table in buckets of the keys, one for each shuffle partition: joins by the keys don't move its rows again.
 
-    The table is external, in the shared folder, and its name goes with the session's catalogue.
+    The table is external, in the shared folder; its name goes when its files do.
     """
     spark = df.sparkSession
     path, n = _new_path(spark), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
     name = path.rpartition("/")[2].replace("-", "_")
     df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    _tables[path] = name
     out = spark.table(name)
     out._cut_path = path
     return out

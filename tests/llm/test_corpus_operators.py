@@ -571,6 +571,33 @@ def test_long_texts_licences_and_fingerprints(spark):
     assert sorted((r["doc_id"], r["license"] or "") for r in licenses.runs(df).collect()) == [(1, "MIT"), (2, "MIT"), (2, "MIT"), (3, "")]
 
 
+def test_cuts_are_deleted(spark):
+    from linkloom.llm import common
+
+    one = common.cut(spark.range(5))
+    two = common.bucketed_cut(spark.range(50).withColumn("k", F.col("id") % 7), ["k"])
+    name = common._tables[two._cut_path]
+    assert one.count() == 5 and two.count() == 50 and two.groupBy("k").count().count() == 7
+    plan = two.join(spark.range(7).withColumnRenamed("id", "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
+    for df in (one, two):
+        common.drop_cut(df)
+        assert df._cut_path not in common._written
+    assert not spark.catalog.tableExists(name)
+    kept = common.cut(spark.range(3))
+    common.drop_all_cuts()
+    assert kept._cut_path not in common._written
+
+
+def test_toxicity_query_on_held_out_rows(spark, tmp_path):
+    rows = [(i, prose(25) + (". you are an idiot and a clown. " if i % 4 == 0 else ". he said no. ") + prose(15)) for i in range(300)] + [(900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["op6_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == 302 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0 and r["doc_id"] < 300) for r in got if r["held_out"] or r["doc_id"] >= 900)
+
+
 def test_components_reach_the_smallest(spark):
     from linkloom.llm.common import components
 
