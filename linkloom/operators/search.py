@@ -126,14 +126,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
     return top_k(hits.select("query_id", "vec_id", "similarity"), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
 
 
-def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096) -> DataFrame:
-    """The rows of nearest(), for many queries: blocks of about so many vectors and of queries meet in pairs, and each pair keeps a query's best k (and ties after rounding)."""
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096, least: float = -1.0, block: list[str] | None = None) -> DataFrame:
+    """The rows of nearest(), for many queries: blocks of about so many vectors and of queries meet in pairs, and each pair keeps a query's best k (and ties after rounding).
+
+    block: only vectors and queries that are equal in these columns meet; a value of very many rows is many blocks.
+    """
+    same = block or []
     n_v, n_q = (max(1, -(-df.count() // rows)) for df in (vectors, queries))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block_of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = vectors.select("vec_id", "embedding", block(n_v).alias("v_block"), all_of(n_q).alias("q_block"))
+    v = vectors.select("vec_id", "embedding", *same, block_of(n_v).alias("v_block"), all_of(n_q).alias("q_block"))
     # columns of their own: in a cogroup, both sides must not share any
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), all_of(n_v).alias("v_block"), block(n_q).alias("q_block"))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), *[F.col(c).alias(f"{c}__") for c in same], all_of(n_v).alias("v_block__"), block_of(n_q).alias("q_block__"))
 
     def unit(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
         t = t.filter(pc.equal(pc.list_value_length(t["embedding"]), size))
@@ -158,9 +162,9 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, types, strict=True)], ["query_id", "vec_id", "similarity"])
 
-    keys = ["v_block", "q_block"]
-    hits = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, similarity double")
-    return top_k(hits.withColumn("similarity", F.round("similarity", 6)), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
+    keys = [*same, "v_block", "q_block"]
+    hits = v.groupBy(*keys).cogroup(q.groupBy(*[f"{c}__" for c in keys])).applyInArrow(best, "query_id long, vec_id long, similarity double")
+    return top_k(hits.withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
 
 
 def fuse(parts: list[tuple[str, DataFrame]], key: list[str], k: int, group: str) -> DataFrame:

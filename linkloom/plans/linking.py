@@ -166,7 +166,7 @@ def cosine_neighbours(t):
 
 @query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id)::INT AS rank FROM {VEC} e JOIN {VEC} q ON e.vec_id <> q.vec_id AND e.label = q.label WHERE q.vec_id % 20 = 0 AND round(list_cosine_similarity(e.v, q.v), 6) >= 0.1) WHERE rank <= 3")
 def knn_per_group(t):
-    return S.nearest(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 3, 0.1, ["label"])
+    return S.nearest_in_blocks(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 3, least=0.1, block=["label"])
 
 
 _TOK = "list_filter(regexp_split_to_array(lower(translate(text, chr(10) || ',.-', '    ')), '\\s+'), lambda w: length(w) > 2)"

@@ -135,6 +135,9 @@ def test_nearest_in_blocks_equals_all_pairs(spark):
     assert {r[0] for r in want} == {0, 20, 40, 60, 80, 100}
     for size in (4096, 25, 3):
         assert sorted(map(tuple, S.nearest_in_blocks(v, q, 5, size).collect())) == want
+    g = v.withColumn("g", F.when(F.col("vec_id") % 7 > 0, F.col("vec_id") % 2))  # null values of a block meet nothing
+    want = sorted(map(tuple, S.nearest(g, g.filter("vec_id % 20 = 0"), 3, 0.0, ["g"]).collect()))
+    assert len(want) > 5 and all(sorted(map(tuple, S.nearest_in_blocks(g.filter("g IS NOT NULL"), g.filter("g IS NOT NULL AND vec_id % 20 = 0"), 3, size, 0.0, ["g"]).collect())) == want for size in (4096, 10))
     one = spark.createDataFrame([(20, [1.0, 0.0])], v.schema)
     assert S.nearest_in_blocks(one, one, 5).count() == 0
 
