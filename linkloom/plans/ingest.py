@@ -31,7 +31,8 @@ def timed(t):
     return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-_FLAGS = "SELECT unnest(ids) AS event_id, unnest(o) AS {1} FROM (SELECT list(event_id ORDER BY ts, event_id) AS ids, list_reduce(list(epoch_us(ts)::BIGINT ORDER BY ts, event_id), lambda a, x: {2}, {3}).o AS o FROM events GROUP BY {0})"
+_FLAGS_OF = "SELECT unnest(ids) AS event_id, unnest(o) AS {1} FROM (SELECT list(event_id ORDER BY ts, event_id) AS ids, list_reduce(list(epoch_us(ts)::BIGINT ORDER BY ts, event_id), lambda a, x: {2}, {3}).o AS o FROM {4} GROUP BY {0})"
+_FLAGS = _FLAGS_OF.replace("{4}", "events")
 
 
 @query(_FLAGS.format("user_id % 5, event_type", "duplicate", "CASE WHEN a.r IS NOT NULL AND abs(x - a.r) < 10000000 THEN {'r': a.r, 'o': list_append(a.o, true)} ELSE {'r': x, 'o': list_append(a.o, false)} END", "{'r': NULL::BIGINT, 'o': []::BOOLEAN[]}"))
@@ -73,6 +74,23 @@ def guarded_messages(t):
     return I.guarded(m, monitored, F.lit("2024-01-25").cast("timestamp"), 240).select("event_id")
 
 
+_SAME = "CASE WHEN a.r IS NOT NULL AND abs(x - a.r) < 3600000000 THEN {'r': a.r, 'o': list_append(a.o, true)} ELSE {'r': x, 'o': list_append(a.o, false)} END"
+_BUCKET = f"{{'l': CASE WHEN {_LEFT} >= 1 THEN {_LEFT} - 1 ELSE {_LEFT} END, 't': x, 'o': list_append(a.o, {_LEFT} >= 1)}}"
+
+
+@query(f"""WITH g AS (SELECT e.event_id, e.ts, m.group_jid, m.content FROM events e JOIN {_GUARD} m USING (event_id) WHERE m.group_jid LIKE '%@g.us' AND NOT m.is_from_me AND trim(m.content) <> '' AND m.group_jid IN ('g1@g.us', 'g2@g.us', 'g3@g.us')),
+    r AS ({_FLAGS_OF.format("group_jid", "allowed", _BUCKET, "{'l': 5.0::DOUBLE, 't': NULL::BIGINT, 'o': []::BOOLEAN[]}", "g")}),
+    a AS (SELECT g.* FROM g JOIN r USING (event_id) WHERE allowed),
+    d AS ({_FLAGS_OF.format("group_jid, content", "duplicate", _SAME, "{'r': NULL::BIGINT, 'o': []::BOOLEAN[]}", "a")})
+    SELECT event_id FROM d WHERE NOT duplicate""")
+def guard_chain(t):
+    u = F.col("user_id")
+    m = timed(t).select("event_id", F.col("ts").alias("timestamp"), F.when(u % 4 == 0, F.concat(F.lit("c"), u.cast("string"), F.lit("@s.whatsapp.net"))).otherwise(F.concat(F.lit("g"), (u % 7).cast("string"), F.lit("@g.us"))).alias("group_jid"), (u % 10 == 0).alias("is_from_me"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("content"))
+    monitored = t.nation.filter("n_nationkey BETWEEN 1 AND 3").select(F.concat(F.lit("g"), F.col("n_nationkey").cast("string"), F.lit("@g.us")).alias("group_jid"))
+    allowed = I.rate_limited(I.guarded(m, monitored), ["group_jid"], "timestamp", "event_id", per_minute=0.02, burst=5).filter("allowed")
+    return I.replay_duplicates(allowed, "group_jid", "content", "timestamp", "event_id", 3600.0).filter("NOT duplicate").select("event_id")
+
+
 @query("SELECT subscriber, count(*) AS n FROM (SELECT 'errors' AS subscriber FROM events WHERE event_type = 'error' UNION ALL SELECT 'large' FROM events WHERE value > 15 UNION ALL SELECT 'all' FROM events) GROUP BY 1")
 def event_fan_out(t):
     sink = I.fan_out({"errors": F.col("event_type") == "error", "large": F.col("value") > 15, "all": F.lit(True)})

@@ -31,8 +31,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def backup(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def backup(df: DataFrame, name: str, path: str | None = None) -> None:
+    """A copy as a table of the catalogue, in the warehouse or a folder of its own."""
+    w = df.write.mode("overwrite")
+    (w.option("path", path) if path else w).saveAsTable(name)
+
+
+def raw_sql(spark: SparkSession, sf_dir: str, text: str, **params: object) -> DataFrame:
+    """SQL text over the tables of a folder, which it names in braces; :names are parameters."""
+    return spark.sql(text, args=params, **{n: table(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text})
 
 
 def write_by_month(df: DataFrame, at: str, path: str) -> None:
