@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from linkloom.llm.common import add_columns
 
 SPACE = "▁"
-NONE = np.int64(1 << 60)
+NONE = np.int32((1 << 31) - 1)
 #: Symbols from here on stand for characters that are not in the vocabulary; above all code points.
 ODD = 1 << 21
 #: Bits of a symbol in the key of a pair: ODD and any code point together stay below.
@@ -78,9 +78,18 @@ class Pieces:
                 if a is not None and b is not None:
                     pairs[a << BITS | b] = (ranks[score[i]], i)
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        keys = np.array(sorted(pairs), np.int64)
+        # the last of each is for pairs that aren't in the vocabulary, whose index is -1
+        self.rank = np.array([*(pairs[k][0] for k in keys.tolist()), NONE], np.int32)
+        self.made = np.array([*(pairs[k][1] for k in keys.tolist()), -1], np.int64)
+        # an open hash table of few filled slots: a pair is found at its slot or one of the next
+        self.shift = np.uint64(64 - max(10, len(keys).bit_length() + 3))
+        self.slots = np.full((1 << (64 - int(self.shift))) + len(keys), -1, np.int64)
+        self.at = np.full(len(self.slots), -1, np.int32)
+        for i, (k, h) in enumerate(zip(keys.tolist(), self.slot(keys).tolist(), strict=True)):
+            while self.slots[h] >= 0:
+                h += 1
+            self.slots[h], self.at[h] = k, i
         self.shown_len = np.array([len(b) for b in shown], np.int64)
         self.shown_at = np.cumsum(self.shown_len) - self.shown_len
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
@@ -93,11 +102,23 @@ class Pieces:
             if len(p) == 1:
                 self.first[ord(p)] = i
 
+    def slot(self, k: np.ndarray) -> np.ndarray:
+        return (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The index of each pair in the tables, or -1."""
         k = a << BITS | b
-        i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        return np.where(self.keys[i] == k, i, -1)
+        h = self.slot(k)
+        there = self.slots[h]
+        out = np.where(there == k, self.at[h], np.int32(-1))
+        left = np.nonzero((there != k) & (there >= 0))[0]
+        while len(left):
+            h[left] += 1
+            there = self.slots[h[left]]
+            same = there == k[left]
+            out[left[same]] = self.at[h[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All units' ids in one array, and how many each has."""
@@ -106,14 +127,17 @@ class Pieces:
         lens = np.fromiter(map(len, units), np.int64, n)
         sym = self.first[points]
         sym = np.where(sym < 0, ODD + points, sym)
-        own = np.repeat(np.arange(n), lens)
+        own = np.repeat(np.arange(n, dtype=np.int32), lens)
+        at = np.full(len(sym), -1, np.int32)  # of the pair that begins at each symbol; later only pairs beside merges change
+        inner = np.nonzero(own[1:] == own[:-1])[0]
+        at[inner] = self.look(sym[inner], sym[inner + 1])
         done_sym, done_own, hard = [], [], []
         while len(sym):
-            at = np.full(len(sym), -1, np.int64)
-            inner = np.nonzero(own[1:] == own[:-1])[0]
-            at[inner] = self.look(sym[inner], sym[inner + 1])
-            rank = np.where(at >= 0, self.rank[at], NONE)
-            starts = np.nonzero(np.concatenate(([True], own[1:] != own[:-1])))[0]
+            rank = self.rank[at]
+            new = np.empty(len(sym), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            starts = np.nonzero(new)[0]
             low = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.append(starts, len(sym)))
             least = np.repeat(low, counts)
@@ -124,37 +148,43 @@ class Pieces:
                 sym, own, at, rank, least = sym[active], own[active], at[active], rank[active], least[active]
                 if not len(sym):
                     break
-            hit = rank == least
-            i = np.arange(len(sym))
-            begin = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), i, -1))
-            take = hit & ((i - begin) % 2 == 0)
-            p = np.nonzero(take)[0]
+            p = np.nonzero(rank == least)[0]
+            # of hits in a row every second one, from the first
+            far = np.empty(len(p), bool)
+            far[0] = True
+            np.not_equal(p[1:], p[:-1] + 1, out=far[1:])
+            p = p[(p - p[np.maximum.accumulate(np.where(far, np.arange(len(p)), 0))]) % 2 == 0]
             s = self.made[at[p]]
-            # a pair beside the merged symbol that ranks no later would come first if merged one at a time
             after = sym.copy()
             after[p] = s
             gone = np.zeros(len(sym), bool)
             gone[p + 1] = True
-            left = p - 1
-            left = np.where((left >= 0) & gone[np.maximum(left, 0)], left - 1, left)
-            ok = (left >= 0) & (own[np.maximum(left, 0)] == own[p])
-            l_at = np.where(ok, self.look(after[np.maximum(left, 0)], s), -1)
-            right = np.minimum(p + 2, len(sym) - 1)
-            ok = (p + 2 < len(sym)) & (own[right] == own[p])
-            r_at = np.where(ok, self.look(s, sym[right]), -1)
-            bad = ((l_at >= 0) & (self.rank[l_at] <= least[p])) | ((r_at >= 0) & (self.rank[r_at] <= least[p]))
+            # pairs of the merged symbol with what is beside it then; the one before may be a merged one as well
+            left, right = np.maximum(p - 1, 0), np.minimum(p + 2, len(sym) - 1)
+            beside = np.where(gone[left], np.maximum(p - 2, 0), left)
+            l_at = np.where((p > 0) & (own[beside] == own[p]), self.look(after[beside], s), np.int32(-1))
+            follows = (p + 2 < len(sym)) & (own[right] == own[p])
+            n_at = np.where(follows, self.look(s, after[right]), np.int32(-1))
+            r_at = n_at.copy()
+            twice = np.nonzero(follows & (after[right] != sym[right]))[0]
+            r_at[twice] = self.look(s[twice], sym[right[twice]])
+            # one that ranks no later than the merged pair would come first if merged one at a time
+            bad = (self.rank[l_at] <= least[p]) | (self.rank[r_at] <= least[p])
+            at[p] = n_at
+            alone = (p > 0) & ~gone[left]
+            at[left[alone]] = l_at[alone]
             keep = ~gone
             if bad.any():
                 odd = np.unique(own[p[bad]])
                 hard += odd.tolist()
                 keep &= ~np.isin(own, odd)
-            sym, own = after[keep], own[keep]
+            sym, own, at = after[keep], own[keep], at[keep]
         for u in hard:
             got = self.one_by_one(units[u])
             done_sym.append(np.array(got, np.int64))
-            done_own.append(np.full(len(got), u, np.int64))
+            done_own.append(np.full(len(got), u, np.int32))
         sym = np.concatenate(done_sym or [np.zeros(0, np.int64)])
-        own = np.concatenate(done_own or [np.zeros(0, np.int64)])
+        own = np.concatenate(done_own or [np.zeros(0, np.int32)])
         order = np.argsort(own, kind="stable")
         return self.with_bytes(sym[order], own[order], n)
 
