@@ -168,11 +168,11 @@ def backfill_ids(t):
     return R.filled_from(p, "master", F.lower(F.trim("p_name")), known).select("p_partkey", "master")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN hit THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN hit THEN TIMESTAMP '{NOW}' END AS confirmed_at, CASE WHEN hit AND l_linenumber <> 2 THEN 'user' || l_suppkey END AS matched_by FROM (SELECT *, status = 'PENDING' AND s >= 0.8 AS hit FROM {MATCHES})")
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN hit THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN hit THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '1970-01-01' END AS confirmed_at, CASE WHEN hit AND l_linenumber <> 2 THEN 'user' || l_suppkey END AS matched_by FROM (SELECT *, status = 'PENDING' AND s >= 0.8 AS hit FROM {MATCHES})")
 def confirm_matches(t):
     by = F.when(F.col("l_linenumber") == 2, " ").otherwise(F.concat(F.lit("user"), F.col("l_suppkey").cast("string")))
     m = R.confirmed(matches(t), (F.col("status") == "PENDING") & (F.col("s") >= 0.8), "CONFIRMED", NOW, by)
-    return m.select("l_orderkey", "l_linenumber", "status", "confirmed_at", "matched_by")
+    return m.select("l_orderkey", "l_linenumber", "status", F.coalesce("confirmed_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("confirmed_at"), "matched_by")
 
 
 @query("SELECT p_partkey AS id, greatest(0, p_size % 5 + coalesce(s, 0))::BIGINT AS n FROM part LEFT JOIN (SELECT l_partkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END) AS s FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
@@ -191,10 +191,10 @@ def retention_rules(t):
     return union([df.agg(F.lit(n).alias("table_name"), F.count("*").alias("kept")) for n, df in kept])
 
 
-@query("SELECT event_id, TIMESTAMP '2024-01-15 12:00:00' <= to_timestamp(floor(epoch(a))) + INTERVAL 30 MINUTE AS undone FROM (SELECT event_id, CASE WHEN value > 5 THEN ts END AS a FROM events)".replace("to_timestamp(floor(epoch(a)))", "make_timestamp((floor(epoch(a)) * 1000000)::BIGINT)"))
+@query("SELECT event_id, CASE WHEN a IS NULL THEN 'never approved' WHEN TIMESTAMP '2024-01-15 12:00:00' <= to_timestamp(floor(epoch(a))) + INTERVAL 30 MINUTE THEN 'undone' ELSE 'too late' END AS outcome FROM (SELECT event_id, CASE WHEN value > 5 THEN ts END AS a FROM events)".replace("to_timestamp(floor(epoch(a)))", "make_timestamp((floor(epoch(a)) * 1000000)::BIGINT)"))
 def undo_window(t):
     d = t.events.withColumn("approved_at", F.when(F.col("value") > 5, F.col("ts")))
-    return R.undone(d, "approved_at", "2024-01-15 12:00:00").select("event_id", "undone")
+    return R.undone(d, "approved_at", "2024-01-15 12:00:00").select("event_id", F.when(F.col("undone"), "undone").when(~F.col("undone"), "too late").otherwise("never approved").alias("outcome"))
 
 
 @query("SELECT id AS o_orderkey, o.o_orderkey IS NOT NULL AND o_orderstatus <> 'F' AS ok, CASE WHEN o.o_orderkey IS NULL THEN 'not found' WHEN o_orderstatus = 'F' THEN 'already decided' END AS reason FROM (SELECT DISTINCT (l_orderkey * 2)::BIGINT AS id FROM lineitem WHERE l_quantity > 40) LEFT JOIN orders o ON o.o_orderkey = id")
@@ -236,6 +236,7 @@ def multi_pass_routes(t):
     return g.select("conv_id", R.pass_route(F.col("c")).alias("route"))
 
 
-@query("SELECT event_id, CASE WHEN a < 3 THEN ts + INTERVAL (30 * pow(2, a)::BIGINT) SECOND END AS again FROM (SELECT event_id, date_trunc('second', ts) AS ts, event_id % 6 AS a FROM events)")
+@query("SELECT event_id, CASE WHEN a < 3 THEN ts + INTERVAL (30 * pow(2, a)::BIGINT) SECOND ELSE TIMESTAMP '1970-01-01' END AS again FROM (SELECT event_id, date_trunc('second', ts) AS ts, event_id % 6 AS a FROM events)")
 def retry_schedule(t):
-    return t.events.select("event_id", Z.retry_at(F.col("event_id") % 6, F.col("ts")).cast("timestamp_ntz").alias("again"))
+    again = Z.retry_at(F.col("event_id") % 6, F.col("ts")).cast("timestamp_ntz")
+    return t.events.select("event_id", F.coalesce(again, F.lit("1970-01-01").cast("timestamp_ntz")).alias("again"))
