@@ -128,6 +128,10 @@ def verified(dealt: DataFrame, least: float, listed: int, shared: int) -> DataFr
     def pairs(x: np.ndarray, near: list[np.ndarray], p: int, q: int, cross: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         m = members(near)
         few = min(shared, min(map(len, near)))
+        # the same prefixes come again and again in a crowd
+        ids: dict[bytes, int] = {}
+        kind = np.array([ids.setdefault(a.tobytes(), len(ids)) for a in near])
+        one = [near[i] for i in np.unique(kind, return_index=True)[1]]
         for c in range(0, len(x), 1024):
             retrieved = m[c : c + 1024] @ m.T >= few
             if cross is not None:
@@ -136,15 +140,9 @@ def verified(dealt: DataFrame, least: float, listed: int, shared: int) -> DataFr
             i, j = i[i + c < j] + c, j[i + c < j]
             if not len(i):
                 continue
-            # the same prefixes come again and again in a crowd
-            seen: dict[tuple[bytes, bytes], bool] = {}
-            names = [a.tobytes() for a in near]
-            keep = np.zeros(len(i), bool)
-            for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                key = (names[a], names[b])
-                if key not in seen:
-                    seen[key] = first_common(near[a][:listed], near[b][:listed]) == p and (q < 0 or first_common(near[a], near[b], p) == q)
-                keep[k] = seen[key]
+            both, back = np.unique(kind[i] * len(one) + kind[j], return_inverse=True)
+            mine = [first_common(a[:listed], b[:listed]) == p and (q < 0 or first_common(a, b, p) == q) for a, b in ((one[x], one[y]) for x, y in zip(*divmod(both, len(one)), strict=True))]
+            keep = np.array(mine)[back]
             yield i[keep], j[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
