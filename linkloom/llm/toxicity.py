@@ -160,6 +160,7 @@ class Grammar:
         self.machine = Machine(insult, threat, negation, reporting, aiming)
         self.classes = {w: (k, 1.0) for k, ws in LISTS.items() for w in ws.split()} | {m: (k, 0.0) for m, k in MARKS.items()}
         self.seen: dict[str, tuple[int, float]] = {}
+        self.plain: set[str] = set()
 
     def of(self, word: str) -> tuple[int, float]:
         """A lower-case word's or mark's class and weight."""
@@ -175,6 +176,18 @@ class Grammar:
             self.seen[word] = hit
         return hit
 
+    def any_match(self, words: set[str]) -> bool:
+        """Whether one of the words can be matched; those that can't are remembered."""
+        if len(self.plain) > 300_000:
+            self.plain.clear()
+        found = False
+        for w in words - self.plain:
+            if self.of(w)[0] in (INSULT, HARM, DIE):
+                found = True
+            else:
+                self.plain.add(w)
+        return found
+
     def clauses(self, low: str) -> list[tuple[dict[str, float], list[int]]]:
         """Of each clause with a match: the heaviest path of each matched word, and what was written."""
         q, found, wrote = 0, {}, []
@@ -196,7 +209,7 @@ class Grammar:
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
         low = text.lower()
-        if not any(self.of(w)[0] in (INSULT, HARM, DIE) for w in set(WORD.findall(low))):
+        if not self.any_match(set(WORD.findall(low))):
             return out
         parts = self.clauses(low)
         paths: dict[str, float] = {}
