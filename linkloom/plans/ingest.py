@@ -40,6 +40,12 @@ def replay_dedup(t):
     return I.replay_duplicates(timed(t).withColumn("sender", F.col("user_id") % 5), "sender", "event_type", "ts", "event_id", 10.0).select("event_id", "duplicate")
 
 
+@query(_FLAGS.format("user_id % 5, event_type", "duplicate", "CASE WHEN a.r IS NOT NULL AND abs(x - a.r) < 600000000 THEN {'r': a.r, 'o': list_append(a.o, true)} ELSE {'r': x, 'o': list_append(a.o, false)} END", "{'r': NULL::BIGINT, 'o': []::BOOLEAN[]}"))
+def stream_repeats(t):
+    source = events(t).withColumn("sender", F.col("user_id") % 5)
+    return I.with_state(t.spark, lambda: I.drained(I.marked_repeats(source, "sender", "event_type", "ts", "event_id", 600.0), "append")).select("event_id", "duplicate")
+
+
 _LEFT = "(CASE WHEN a.t IS NULL THEN 5.0::DOUBLE ELSE least(5.0::DOUBLE, a.l + (x - a.t) / 1000000.0::DOUBLE * 0.02::DOUBLE / 60) END)"
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from linkloom.operators.folds import folded
 from linkloom.operators.relational import top_k
@@ -47,6 +49,50 @@ def deduplicated(df: DataFrame, sender: str, content: str, at: str, window: str
     return marked.dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Recorded(StatefulProcessor):
+    """Marks a key's messages that are less than `window` seconds from the recorded one, which repeats don't renew."""
+
+    def __init__(self, key: str, columns: list[str], at: str, tie: str, window: float) -> None:
+        self.key, self.columns, self.at, self.tie, self.window = key, columns, at, tie, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("recorded", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N803
+        batch = pd.concat(list(rows)).sort_values([self.at, self.tie], kind="stable")  # a key's messages of one micro-batch
+        recorded = self.last.get()[0] / 1e6 if self.last.exists() else None
+        flags, recorded = replayed([us / 1e6 for us in batch[self.at]], recorded, self.window)
+        self.last.update((round(recorded * 1e6),))
+        yield batch[self.columns].assign(duplicate=flags)
+
+    def close(self) -> None:
+        pass
+
+
+def marked_repeats(df: DataFrame, sender: str, content: str, at: str, tie: str, window: float = 10.0) -> DataFrame:
+    """A stream with duplicate, by the exact rule, whatever the group: state is the recorded time of each sender and content.
+
+    Within a micro-batch messages go in order of time. Needs the RocksDB state store (with_state).
+    """
+    us = df.withColumns({"us__": F.unix_micros(F.col(at).cast("timestamp")), "key__": F.sha2(F.concat_ws(":", F.col(sender).cast("string"), F.col(content)), 256)})
+    schema = T.StructType([*df.schema.fields, T.StructField("duplicate", T.BooleanType())])
+    return us.groupBy("key__").transformWithStateInPandas(statefulProcessor=Recorded("key__", df.columns, "us__", tie, window), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def with_state(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """run(), with the RocksDB state store for the streams it starts and ends; the session's setting is as before then."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
 def replay_duplicates(df: DataFrame, sender: str, content: str, at: str, tie: str, window: float = 10.0) -> DataFrame:
     """df with duplicate, by the exact rule over a finished log: a message less than `window` seconds from the last recorded one of its sender and content."""
     us = df.withColumn("us__", F.unix_micros(F.col(at).cast("timestamp")))

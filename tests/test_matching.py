@@ -245,3 +245,16 @@ def test_seeds_storage_plans_and_metrics(spark, tmp_path):
     out.write.format("noop").mode("overwrite").save()
     assert seen.get == {"n": 10, "most": 9}
     assert T.preview(df, 3).count() == 3
+
+
+def test_exact_repeats_over_micro_batches(spark, tmp_path):
+    import time
+
+    t0, schema = dt.datetime(2024, 1, 1), "s string, i int, ts timestamp"
+    for n, part in enumerate(([("a", 0, 0), ("a", 1, 9), ("b", 2, 9)], [("a", 4, 13), ("a", 3, 12), ("b", 5, 18), ("a", 6, 22)])):
+        spark.createDataFrame([(s, i, t0 + dt.timedelta(seconds=x)) for s, i, x in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/x{n}")
+        time.sleep(1.1)  # batches go by the files' times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = I.with_state(spark, lambda: I.drained(I.marked_repeats(stream, "s", "s", "ts", "i"), "append"))
+    assert [r["duplicate"] for r in got.orderBy("i").collect()] == [False, True, False, False, True, True, False]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
