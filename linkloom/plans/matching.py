@@ -201,12 +201,16 @@ def suggest_fusion(t):
 
 
 @query(f"""WITH q AS (SELECT item_id, unnest(list_distinct({_TOK})) AS word FROM benchmark), k AS (SELECT DISTINCT item_id, p_name FROM q JOIN {NAMES} ON list_contains({_TOK.replace('text', 'p_name')}, word)),
-    v AS (SELECT item_id, p_name FROM (SELECT item_id, p_name, row_number() OVER (PARTITION BY item_id ORDER BY abs(length(p_name) - item_id % 20), p_name) AS r FROM benchmark, {NAMES}) WHERE r <= 3)
+    n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1),
+    v AS (SELECT item_id, p_name FROM (SELECT item_id, p_name, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(e.v, f.v), 6) DESC, n.id) AS r FROM benchmark JOIN {VEC} e ON e.vec_id = item_id, n JOIN {VEC} f ON f.vec_id = n.id) WHERE r <= 3)
     SELECT item_id, p_name, 'keyword' AS method FROM k UNION ALL SELECT item_id, p_name, 'vector' FROM v WHERE (item_id, p_name) NOT IN (SELECT item_id, p_name FROM k)""")
 def hybrid_candidates(t):
     keyword = S.exact_then_fuzzy(t.benchmark, "item_id", "text", names(t), "p_name").filter("method = 'exact'").select("item_id", "p_name")
-    gap = F.abs(F.length("p_name") - F.col("item_id") % 20)  # in place of a distance: 64 names and few items
-    vector = R.top_k(t.benchmark.select("item_id").crossJoin(F.broadcast(names(t))), ["item_id"], [gap.asc(), F.asc("p_name")], 3).select("item_id", "p_name")
+    known = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("vec_id"))
+    v = t.embeddings.join(known, "vec_id").select("vec_id", "embedding")
+    far = 1_000_000  # items' vectors have ids of their own, as a vector doesn't meet itself
+    q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id").select((F.col("vec_id") + far).alias("vec_id"), "embedding")
+    vector = S.nearest_in_blocks(v, q, 3).join(known, "vec_id").select((F.col("query_id") - far).alias("item_id"), "p_name")
     return S.merged([("keyword", keyword), ("vector", vector)], ["item_id", "p_name"])
 
 
