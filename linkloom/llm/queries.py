@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import embeddings, licenses, media, mixing, pieces, secrets, simhash, substrings, tokens, toxicity
+from linkloom.llm import embeddings, licenses, media, mixing, pieces, secrets, simhash, simhash_sql, substrings, tokens, toxicity
 from linkloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -103,6 +103,7 @@ ORACLES = {
             sha256(unhex(CASE WHEN s IS NULL THEN x ELSE array_to_string(list_transform(s, lambda e, i: substr(x, 1 + CASE WHEN i = 1 THEN 0 ELSE 2 * s[i - 1].z END, 2 * (e.a - CASE WHEN i = 1 THEN 0 ELSE s[i - 1].z END))), '')
                 || substr(x, 2 * s[-1].z + 1) END)) AS kept_sha256
         FROM b LEFT JOIN k USING (doc_id)""",
+    "op9_simhash_near_dedup": simhash_sql.oracle(),
     "op10_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,

@@ -212,6 +212,16 @@ def test_simhash_equals_brute_force(spark, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_hash_in_sql_equals_the_library():
+    import duckdb
+
+    from linkloom.llm import simhash_sql
+
+    db = duckdb.connect()
+    for g in ("", "a", "abc", "abcd", "abcdefgh", "abcdefghijk", "x" * 31, "y" * 32, "quick brown fox jumps over é", "z" * 101):
+        assert db.execute(f"SELECT {simhash_sql.xxh64(42)} FROM (SELECT hex(encode(?)) AS b, strlen(?) AS n)", [g, g]).fetchone()[0] == xxhash.xxh64_intdigest(g.encode(), 42)
+
+
 def test_bit_slices_and_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
