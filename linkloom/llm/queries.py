@@ -59,6 +59,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), sha(secrets.joined(base)).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op7_secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secret_scans(spark, sf_dir).drop("spans")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substrings.deduplicate(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
@@ -75,8 +79,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_license_scans, op4_sentencepiece, op5_media_columns, op6_toxicity, op7_secret_scans, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_mixing)}
-#: Beside the first query of an operator: lines and blocks as wholes, where that one takes any run of words.
-MORE = {"op3_license_lines": op3_license_lines}
+#: Beside the first query of an operator: lines and blocks as wholes, where that one takes any run of words; what SQL can say of secrets.
+MORE = {"op3_license_lines": op3_license_lines, "op7_secret_patterns": op7_secret_patterns}
+
+
+def marked(kind: str, pattern: str, keep: str) -> str:
+    """SQL for the places of a pattern's matches m that are kept: the text is cut at marks that are put around them."""
+    cut = f"string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    places = f"SELECT doc_id, list_sum(list_transform(p[1 : i], lambda x: length(replace(x, chr(2), ''))))::BIGINT AS s, split_part(p[i + 1], chr(2), 1) AS m FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, {cut} AS p FROM d))"
+    return f"SELECT doc_id, '{kind}' AS kind, s AS a, s + length(m) AS z FROM ({places}) WHERE {keep}"
+
+
+ASSIGN = secrets.ASSIGN.pattern.replace("'", "''")
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -91,6 +105,12 @@ ORACLES = {
         FROM e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
     "op3_license_scans": licenses.runs_oracle(),
     "op3_license_lines": licenses.oracle(),
+    "op7_secret_patterns": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        s AS ({marked("assign", ASSIGN, f"length(regexp_extract(m, '{ASSIGN}', 1)) >= 6")} UNION ALL {marked("access", "AKIA[A-Z0-9]+", "length(m) >= 20")} UNION ALL {marked("hex", "[0-9a-f]+", "length(m) >= 24")}),
+        g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, list_position(['assign', 'access', 'hex'], kind)) AS j FROM s GROUP BY 1)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(j, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)""",
     # each window of 100 bytes, two hexadecimal digits a byte
     "op8_suffix_array_dedup": """
         WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
