@@ -25,15 +25,20 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     document frequencies come from these postings.
     """
     words = F.filter(F.split(X.normalize_content(F.col(text)), r"\s+"), lambda w: F.length(w) > 2)
-    sized = docs.select(key, words.alias("ws")).filter(F.size("ws") > 0)
-    total = sized.agg(F.count("*").alias("n_docs"), F.avg(F.size("ws")).alias("avg_len"))
+    # no filter on the words' array, nor an explode that brings one: each would split the text once more
+    size = docs.select(F.coalesce(F.size(words), F.lit(0)).alias("n")).agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.sum("n").alias("all"))
+    total = size.select("n_docs", (F.col("all") / F.col("n_docs")).alias("avg_len"))
     asked = words_of(queries, query_key, query_text).distinct()
-    mine = sized.select(key, F.size("ws").alias("len"), F.explode("ws").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", key, "len").agg(F.count("*").alias("tf"))
-    df = mine.groupBy("word").agg(F.count("*").alias("df"))
+    split = docs.select(key, words.alias("ws")).select(key, F.size("ws").alias("len"), F.explode_outer("ws").alias("word"))
+    mine = split.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", key, "len").agg(F.count("*").alias("tf"))
+    # the counts are asked for here too, so that this is the same exchange as the one that is scored, and made once
+    df = mine.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter("all > 0").drop("all")
     scored = mine.join(df, "word").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = asked.join(scored.select("word", key, weight.alias("w")), "word").groupBy(query_key, key).agg(F.round(-F.sum("w"), 6).alias("score"))
+    # by document, so that its words' shares are summed where they are
+    shares = scored.select("word", key, weight.alias("w")).repartition(F.col(key))
+    hits = shares.join(asked, "word").groupBy(query_key, key).agg(F.round(-F.sum("w"), 6).alias("score"))
     return top_k(hits.filter(F.col("score") < cut), [query_key], [F.asc("score"), F.asc(key)], k)
 
 
