@@ -54,15 +54,23 @@ def full_score(parts: dict[str, Column], weights: dict[str, Column], blocked: Co
     offers score 0, near ones lose up to expiry_weight; a bonus of over 0.001 either way is added; the total stays from 0
     to 1. weights: after tests and warm start, as columns.
     """
-    name = F.greatest(parts["medication"], other_language)
-    base = sum((F.coalesce(name if k == "medication" else parts[k], F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
-    held = F.when(name < gate, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base)))
-    near = expiry_score(days_left)
-    aged = F.when(days_left < 0, 0.0).when(near < 1, F.greatest(F.lit(0.0), held - (1 - near) * expiry_weight)).otherwise(held)
-    moved = F.when(F.abs(bonus) > 0.001, F.least(F.lit(1.0), F.greatest(F.lit(0.0), aged + bonus))).otherwise(aged)
-    total = F.when(blocked, 0.0).otherwise(moved)
-    action = F.when(blocked, "Ignore").otherwise(match_action(band(total)))
-    return F.struct(total.alias("total"), F.when(blocked, "None").otherwise(band(total)).alias("band"), action.alias("action"))
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that is named often is worked out once
+    within = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+    def held(name: Column) -> Column:
+        base = sum((F.coalesce(name if k == "medication" else parts[k], F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
+        return F.when(name < gate, 0.0).otherwise(within(base))
+
+    def aged(x: Column) -> Column:
+        lost = F.greatest(F.lit(0.0), 1 - expiry_score(days_left)) * expiry_weight
+        return F.when(days_left < 0, 0.0).otherwise(F.greatest(F.lit(0.0), x - lost))
+
+    def outcome(x: Column) -> Column:
+        of = F.when(blocked, "None").otherwise(band(x))
+        return F.struct(x.alias("total"), of.alias("band"), F.when(blocked, "Ignore").otherwise(match_action(band(x))).alias("action"))
+
+    moved = lambda x: F.when(blocked, 0.0).when(F.abs(bonus) > 0.001, within(x + bonus)).otherwise(x)
+    return let(let(let(let(F.greatest(parts["medication"], other_language), held), aged), moved), outcome)
 
 
 def contrast_status(enabled: bool, positive: Column, negatives: Column, least: float = 0.7) -> Column:
