@@ -415,7 +415,7 @@ def test_toxicity_on_held_out_rows(spark, empty):
 
 def test_grammar_tells_clauses_apart():
     g = toxicity.Grammar({})
-    kind = lambda t: [toxicity.FEATURES[3 + i] for i in np.nonzero(g.features(t)[3:])[0]]
+    kind = lambda t: [toxicity.FEATURES[4 + i] for i in np.nonzero(g.features(t)[4:])[0]]
     assert kind("such trash") == ["plain"] and kind("you are trash") == ["aimed"] and kind("this is not trash") == ["negated"]
     assert kind("she said it is trash") == ["reported"] and kind('"trash" is a word') == ["reported"] and kind("I will kill you") == ["menace", "menace_aimed"]
     assert kind("you will die") == ["menace_aimed"] and kind("nothing here") == []
