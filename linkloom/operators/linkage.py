@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,18 +48,20 @@ def new_matches(scored: DataFrame, existing: DataFrame, keys: list[str], score:
     return found.select(*keys, score, F.when(action == "AutoConfirm", "CONFIRMED").otherwise("PENDING").alias("status"))
 
 
-def full_score(parts: dict[str, Column], weights: dict[str, Column], blocked: Column, other_language: Column, days_left: Column, bonus: Column, expiry_weight: float = 0.1, gate: float = 0.7) -> Column:
+def full_score(parts: dict[str, Column], weights: dict[str, Column | Callable[[Column], Column]], blocked: Column, other_language: Column, days_left: Column, bonus: Column, expiry_weight: float = 0.1, gate: float = 0.7) -> Column:
     """struct(total, band, action): the whole scorer.
 
     A blocked pair scores 0. The medication's score is the better of both languages, and under the gate all is 0. Expired
     offers score 0, near ones lose up to expiry_weight; a bonus of over 0.001 either way is added; the total stays from 0
-    to 1. weights: after tests and warm start, as columns.
+    to 1. weights: after tests and warm start, as columns, or as functions of the part: x / 10 and x * 0.1 differ in the
+    last bit, which is a band where the total is at its end.
     """
     let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that is named often is worked out once
     within = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
     def held(name: Column) -> Column:
-        base = sum((F.coalesce(name if k == "medication" else parts[k], F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
+        part = lambda k: F.coalesce(name if k == "medication" else parts[k], F.lit(0.0))
+        base = sum((w(part(k)) if callable(w) else part(k) * w for k, w in weights.items()), F.lit(0.0))
         return F.when(name < gate, 0.0).otherwise(within(base))
 
     def aged(x: Column) -> Column:

@@ -230,7 +230,7 @@ def semantic_dups(t):
 def full_scorer(t):
     c = F.col
     parts = {"medication": c("l_quantity") / 50, "pharmaceutical": 1 - c("l_tax"), "recency": c("l_suppkey") % 10 / 10}
-    s = K.full_score(parts, {"medication": F.lit(0.6), "pharmaceutical": F.lit(0.3), "recency": F.lit(0.1)}, c("l_suppkey") % 40 == 0, c("l_discount") * 10, c("l_partkey") % 300 - 5, (c("l_linenumber") - 4) * 0.02)
+    s = K.full_score(parts, {"medication": F.lit(0.6), "pharmaceutical": F.lit(0.3), "recency": lambda x: x / 10}, c("l_suppkey") % 40 == 0, c("l_discount") * 10, c("l_partkey") % 300 - 5, (c("l_linenumber") - 4) * 0.02)
     return t.lineitem.select("l_orderkey", "l_linenumber", s.alias("x")).select("l_orderkey", "l_linenumber", F.round("x.total", 6).alias("total"), "x.band", "x.action")
 
 

@@ -47,6 +47,20 @@ def test_full_scorer_cases(spark):
     assert one(m=0.5, other=0.9, days=99)["total"] == pytest.approx(0.92) and one(days=99, bonus=0.2)["total"] == 1.0 and one(days=99, bonus=0.0005)["total"] == pytest.approx(0.92)
 
 
+def test_full_scorer_at_the_end_of_a_band_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from linkloom.plans import ORACLES, QUERIES
+
+    # the first is 0.9 in decimals, just under it in the doubles of the SQL
+    lines = spark.createDataFrame([(1, 6, 49.0, 0.08, 0.06, 38, 8), (2, 6, 50.0, 0.08, 0.06, 38, 8)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_suppkey long, l_partkey long")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = QUERIES["full_scorer"](spark, str(tmp_path)).select("l_orderkey", "band", "action")
+    assert rows(got) == sorted(db.execute(f"SELECT l_orderkey, band, action FROM ({ORACLES['full_scorer']})").fetchall(), key=str)
+
+
 def test_hard_negatives_equal_the_whole_pool(spark):
     import hashlib
 
