@@ -58,16 +58,25 @@ def holding(texts: DataFrame, key: str, text: str, names: DataFrame, name: str)
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t__")), lambda i: F.array(*[F.substring(F.col("t__"), i, F.lit(k)) for k in (1, 2, 3)]))))
     keyed = texts.select(F.col(key), F.col(text).alias("t__")).filter(F.length("t__") > 0).withColumn("g__", F.explode(grams))
     named = names.filter(F.length(name) > 0).withColumn("g__", F.substring(name, 1, 3))
-    return keyed.join(named, "g__").filter(F.col("t__").contains(F.col(name))).drop("g__", "t__")
+    # a merge: the size of a scan says little of its texts' grams, and they would be broadcast
+    return keyed.hint("merge").join(named, "g__").filter(F.col("t__").contains(F.col(name))).drop("g__", "t__")
 
 
 def dictionary_hits(texts: DataFrame, key: str, text: str, masters: DataFrame, master: str, names: list[str]) -> DataFrame:
-    """(key, master, method): of each text the masters that it names, by the first of the name columns that is found in it."""
-    out = None
-    for n, name in enumerate(names):
-        hits = holding(texts, key, text, masters.select(master, F.lower(name).alias("n__")).distinct(), "n__").select(key, master, F.struct(F.lit(n), F.lit(name).alias("method")).alias("m"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy(key, master).agg(F.min("m").alias("m")).select(key, master, "m.method")
+    """(key, master, method): of each text the masters that it names, by the first of the name columns that is found in it.
+
+    Equal texts are searched once, for the names of all columns at once; what is found goes to their keys as one array.
+    """
+    ways = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("method"), F.lower(name).alias("name")) for n, name in enumerate(names)])
+    named = masters.select(master, F.explode(ways).alias("w")).select(master, F.struct("w.n", "w.method").alias("m"), F.col("w.name").alias("n__")).distinct()
+    asked = texts.select(F.col(key).alias("k__"), F.col(text).alias("x__")).filter(F.length("x__") > 0)
+    hits = holding(asked.select("x__").distinct(), "x__", "x__", named, "n__").groupBy("x__", master).agg(F.min("m").alias("m"))
+    by_text = hits.groupBy("x__").agg(F.collect_list(F.struct(master, "m")).alias("found"))  # at most all masters
+    # a key of several texts has a master once; a merge, as a scan's size says little of its strings
+    by_key = asked.distinct().hint("merge").join(by_text, "x__").groupBy("k__").agg(F.collect_list("found").alias("found"))
+    every = F.array_sort(F.flatten("found"))
+    first = F.filter(every, lambda x, i: (i == 0) | ~x[master].eqNullSafe(F.get(every, i - 1)[master]))
+    return by_key.select(F.col("k__").alias(key), F.explode(F.when(F.size("found") == 1, F.col("found")[0]).otherwise(first)).alias("f")).select(key, f"f.{master}", "f.m.method")
 
 
 def trigram_topk(queries: DataFrame, names: DataFrame, columns: list[str], k: int = 5, least: float = 0.3) -> DataFrame:

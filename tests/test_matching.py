@@ -100,6 +100,20 @@ def test_holding_and_dictionary(spark):
     assert rows(S.dictionary_hits(texts, "k", "t", m, "master", ["e", "a", "i"])) == [(1, "m", "e"), (1, "o", "a"), (4, "p", "i")]
 
 
+def test_equal_texts_are_searched_once_and_not_broadcast(spark, monkeypatch):
+    whole, seen = S.holding, []
+    monkeypatch.setattr(S, "holding", lambda texts, *more: (seen.append(texts.count()), whole(texts, *more))[1])
+    texts = spark.createDataFrame([(i, "red ring") for i in range(40)] + [(7, "a steel pan"), (7, "a steel pan"), (99, None), (98, ""), (None, "a steel pan")], "k int, t string")
+    m = spark.createDataFrame([("m", "ring", "steel"), ("o", "pan", None), ("o", "steel", "RED"), (None, "zzz", "red")], "master string, e string, a string")
+    got = rows(S.dictionary_hits(texts, "k", "t", m, "master", ["e", "a"]))
+    ring = [(i, x, w) for i in range(40) if i != 7 for x, w in (("m", "e"), ("o", "a"), (None, "a"))]
+    assert seen == [2]  # not 45 for each of the two columns
+    assert got == sorted([*ring, (7, "m", "e"), (7, "o", "e"), (7, None, "a"), (None, "m", "a"), (None, "o", "e")], key=str)
+    # the texts' grams are many times the texts: a scan's size must not make a broadcast of them
+    plan = whole(texts, "k", "t", m, "e")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_semantic_repeats(spark):
     v = spark.createDataFrame([(1, "a", 0, [1.0, 0.0]), (2, "a", 599, [1.0, 0.01]), (3, "a", 1201, [1.0, 0.0]), (4, "b", 600, [1.0, 0.0]), (5, "a", 600, None)], "k int, s string, t int, v array<double>")
     assert [(r[0], r[1]) for r in rows(S.semantic_repeats(v, "k", "s", "t", "v", 600, 0.95))] == [(2, 1)]
