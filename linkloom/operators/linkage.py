@@ -119,9 +119,15 @@ def cascade(pairs: DataFrame, group: str, same_master: Column, embedding: Column
     return first_stage_wins(e.withColumn("stage", stage).withColumn("score", score), group).drop("__e", "__f", "__m", "__rank")
 
 
+def steady_mean(x: Column) -> Column:
+    """avg(x) that doesn't hang on the order of the rows: summed in decimals of 18 places, rounded to a double once; a group with values of 1e8 and more, NaN or infinite ones has the plain mean."""
+    exact = x.try_cast("decimal(26,18)")
+    return F.when(F.count(exact) == F.count(x), F.avg(exact).cast("double")).otherwise(F.avg(x))
+
+
 def margins(df: DataFrame, key: list[str], positive: str, negative: str, over_mean: float = 0.15, over_max: float = 0.10) -> DataFrame:
-    """(key, positive, mean_negative, max_negative, passed) from one row per match and negative."""
-    g = df.groupBy(*key).agg(F.max(positive).alias("positive"), F.avg(negative).alias("mean_negative"), F.max(negative).alias("max_negative"))
+    """(key, positive, mean_negative, max_negative, passed) from one row per match and negative; a mean at the margin's end is the same in each run."""
+    g = df.groupBy(*key).agg(F.max(positive).alias("positive"), steady_mean(F.col(negative)).alias("mean_negative"), F.max(negative).alias("max_negative"))
     return g.withColumn("passed", (F.col("positive") - F.col("mean_negative") >= over_mean) & (F.col("positive") - F.col("max_negative") >= over_max))
 
 

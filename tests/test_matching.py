@@ -61,6 +61,17 @@ def test_full_scorer_at_the_end_of_a_band_equals_its_sql(spark, tmp_path):
     assert rows(got) == sorted(db.execute(f"SELECT l_orderkey, band, action FROM ({ORACLES['full_scorer']})").fetchall(), key=str)
 
 
+def test_means_hang_on_no_order(spark):
+    means = {}
+    for name, vs in (("up", [0.76, 0.74] * 60), ("down", [0.74] * 60 + [0.76] * 60), ("thirds", [1 / 3] * 7)):
+        means[name] = rows(K.margins(spark.createDataFrame([("m", 0.9, v) for v in vs], "k string, p double, n double").coalesce(1), ["k"], "p", "n"))
+    assert means["up"] == means["down"] == [("m", 0.9, 0.75, 0.76, True)] and means["thirds"][0][2] == 1 / 3
+    odd = [("big", 1e200), ("big", 1.0), ("inf", float("inf")), ("inf", 1.0), ("nan", float("nan")), ("nan", 1.0), ("none", None), ("some", None), ("some", -0.5), ("tiny", 1e-30)]
+    got = dict(rows(spark.createDataFrame(odd, "k string, v double").groupBy("k").agg(K.steady_mean(F.col("v")).alias("m"))))
+    nan = got.pop("nan")
+    assert nan != nan and got == {"big": 5e199, "inf": float("inf"), "none": None, "some": -0.5, "tiny": 0.0}
+
+
 def test_hard_negatives_equal_the_whole_pool(spark):
     import hashlib
 
