@@ -120,9 +120,9 @@ def cascade(pairs: DataFrame, group: str, same_master: Column, embedding: Column
 
 
 def steady_mean(x: Column) -> Column:
-    """avg(x) that doesn't hang on the order of the rows: summed in decimals of 18 places, rounded to a double once; a group with values of 1e8 and more, NaN or infinite ones has the plain mean."""
-    exact = x.try_cast("decimal(26,18)")
-    return F.when(F.count(exact) == F.count(x), F.avg(exact).cast("double")).otherwise(F.avg(x))
+    """avg(x) that doesn't hang on the order of the rows: multiples of 2^-20 and what is left are summed apart, both without rounding for scores; a group with values of 2^32 and more, NaN or infinite ones has the plain mean."""
+    high = F.rint(x * 2.0**20) / 2.0**20
+    return F.when(F.max(F.abs(x)) < 2.0**32, (F.sum(high) + F.sum(x - high)) / F.count(x)).otherwise(F.avg(x))
 
 
 def margins(df: DataFrame, key: list[str], positive: str, negative: str, over_mean: float = 0.15, over_max: float = 0.10) -> DataFrame:

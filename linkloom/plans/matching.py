@@ -255,8 +255,8 @@ def retry_routes(t):
 
 @query("SELECT o_orderkey, CASE WHEN s < 0.7 THEN 'below threshold' WHEN n = 0 THEN 'no negatives' END AS skipped, CASE WHEN s >= 0.7 AND n > 0 THEN CASE WHEN s - mean >= 0.15 AND s - top >= 0.10 THEN 'passed' ELSE 'failed' END ELSE 'skipped' END AS outcome FROM (SELECT o_orderkey, any_value(o_orderkey % 100 / 100.0) AS s, count(l_orderkey) AS n, avg(l_quantity / 50) AS mean, max(l_quantity / 50) AS top FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 4 GROUP BY 1)")
 def contrastive_checks(t):
-    neg = t.lineitem.filter("l_linenumber > 4").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.avg(F.col("l_quantity") / 50).alias("mean"), F.max(F.col("l_quantity") / 50).alias("top"))
-    d = t.orders.select("o_orderkey", (F.col("o_orderkey") % 100 / 100.0).alias("s")).join(neg, "o_orderkey", "left")
+    neg = t.lineitem.filter("l_linenumber > 4").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), K.steady_mean(F.col("l_quantity") / 50).alias("mean"), F.max(F.col("l_quantity") / 50).alias("top"))
+    d = t.orders.select("o_orderkey").distinct().withColumn("s", F.col("o_orderkey") % 100 / 100.0).join(neg, "o_orderkey", "left")
     skipped = K.contrast_status(True, F.col("s"), F.col("n"))
     passed = (F.col("s") - F.col("mean") >= 0.15) & (F.col("s") - F.col("top") >= 0.10)
     return d.select("o_orderkey", skipped.alias("skipped"), F.when(skipped.isNotNull(), "skipped").when(passed, "passed").otherwise("failed").alias("outcome"))
